@@ -5,8 +5,10 @@ first. Each of ``TREES`` independent trees branches documents recursively: a
 node selects, by a hash of its path, 1/branching of the ``COORDINATES``
 minwise tokens on average (one at least), and a document goes to the child
 named by its own minimum there. Nodes of at most ``NODE`` documents are
-compared exhaustively on full sets and branch no further; larger ones
-branch again, up to ``DEPTH`` levels. What is still larger (dense groups of
+compared exhaustively and branch no further: all pairs on their minwise
+tokens first, and what may be linked (``SLACK`` standard deviations below the
+threshold count) on full sets. Larger nodes branch again, up to ``DEPTH``
+levels. What is still larger (dense groups of
 near copies, which no branching separates) is cut into hash blocks of about
 ``NODE``, each compared exhaustively; the most linked document of the whole
 group, its centre, is then compared with all members outside its component.
@@ -41,6 +43,8 @@ from glossa.runtime import partitions, stage
 
 WIDTH, THRESHOLD = 5, 80
 COORDINATES, TREES, DEPTH, NODE, SEED = 64, 10, 4, 128, 5
+#: A linked pair with fewer equal coordinates than the cut has a chance below 1e-7.
+SLACK = 5.5
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,7 +53,7 @@ def _sets(width: int):
         a, b = tx.permutations(COORDINATES, SEED)
         for batch in batches:
             texts = tx.texts(batch.column(1))
-            n, keys, sigs = [], [], []
+            n, keys, sigs, sketches = [], [], [], []
             for i, j in tx.row_blocks(np.fromiter(map(len, texts), np.int64, len(texts)), tx.BLOCK_BYTES):
                 flat, at = tx.shingles([tx.words(t) for t in texts[i:j]], width)
                 sig = tx.minhash(flat, at, a, b)
@@ -58,7 +62,8 @@ def _sets(width: int):
                     n.append(len(s))
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     sigs.append(sig[r].astype("<u4").tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "key", "sig"])
+                    sketches.append(sig[r].astype(np.uint8).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, sigs, sketches))], ["doc_id", "n_shingles", "key", "sig", "sketch"])
 
     return run
 
@@ -130,6 +135,48 @@ def _linked(sets: list[np.ndarray], threshold: int) -> tuple[np.ndarray, np.ndar
     return part, link.sum(axis=1)
 
 
+def _likely(threshold: int):
+    """Reads rows (node, rep, sketch) in order of node; gives each part of a node whose pairs may be linked, as sorted ids."""
+    t = threshold / 100
+    least = math.floor(COORDINATES * t - SLACK * math.sqrt(COORDINATES * t * (1 - t)))
+
+    def parts(reps, sketches, out):
+        reps, first = np.unique(np.array(reps, np.int64), return_index=True)
+        x = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, COORDINATES)[first]
+        equal = np.zeros((len(reps), len(reps)), np.uint8)
+        for c in range(COORDINATES):
+            equal += x[:, c, None] == x[None, :, c]
+        near, part = equal >= least, np.arange(len(reps))
+        while True:  # each takes the least index among its neighbours until none changes
+            low = np.where(near, part[None, :], len(reps)).min(axis=1)
+            if (low == part).all():
+                break
+            part = low
+        order = np.argsort(part, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            if len(group) > 1:
+                out.append(reps[group].tolist())
+
+    def run(batches):
+        name, reps, sketches = None, [], []
+        for batch in batches:
+            out = []
+            for n, r, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if n != name:
+                    if len(reps) > 1:
+                        parts(reps, sketches, out)
+                    name, reps, sketches = n, [], []
+                reps.append(r)
+                sketches.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["reps"])
+        out = []
+        if len(reps) > 1:
+            parts(reps, sketches, out)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["reps"])
+
+    return run
+
+
 def _compare(width: int, threshold: int):
     """Reads rows (node, rep, text) in order of node and rep; gives each node's links and its centre."""
 
@@ -185,11 +232,12 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, text:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    base = stage(docs.mapInArrow(_sets(width), "doc_id long, n_shingles long, key binary, sig binary"), "sets")
+    base = stage(docs.mapInArrow(_sets(width), "doc_id long, n_shingles long, key binary, sig binary, sketch binary"), "sets")
     first = base.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    rows = base.join(first, "key", "left").select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig"))
+    rows = base.join(first, "key", "left").select("doc_id", "n_shingles", "rep", *(F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("sig", "sketch")))
     rows = stage(rows, "members")
     reps = rows.where("sig IS NOT NULL").select("rep", "sig")
+    sketches = rows.where("sig IS NOT NULL").select("rep", "sketch")
     branching = 100 / threshold
 
     level, nodes, tree = 0, [], reps.mapInArrow(_branch(branching, 0), "rep long, path long")
@@ -209,6 +257,9 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, text:
     for more in nodes[1:]:
         listed = listed.union(more)
     listed = listed.distinct().select("node", F.explode("reps").alias("rep"))
+    runs = listed.join(sketches, "rep").select("node", "rep", "sketch").repartition(partitions(spark), "node").sortWithinPartitions("node", "rep")
+    likely = runs.mapInArrow(_likely(threshold), "reps array<long>").distinct()
+    listed = likely.select(F.xxhash64("reps").alias("node"), F.explode("reps").alias("rep"))
     blocks = large.select("path", "rep", F.xxhash64("path", F.pmod(F.xxhash64("rep", "path"), F.ceil(F.col("n") / NODE))).alias("node"))
     found = _compared(listed.union(blocks.select("node", "rep")), docs, width, threshold, "links")
     links = found.where("b IS NOT NULL").select("a", "b")
@@ -223,7 +274,7 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, text:
         both = apart.select(F.xxhash64("rep", "centre").alias("node"), F.explode(F.array("rep", "centre")).alias("rep"))
         links = links.union(_compared(both, docs, width, threshold, "centres").where("b IS NOT NULL").select("a", "b"))
     labels = connected_components(links).withColumnRenamed("node", "rep")
-    out = rows.drop("sig").join(labels, "rep", "left")
+    out = rows.drop("sig", "sketch").join(labels, "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

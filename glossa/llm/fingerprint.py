@@ -57,7 +57,7 @@ def _dealt(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = RUNS * partitions(spark)
     rows = docs.select("key", "text", F.col("key").cast("double").alias("at"))
-    cuts = rows.agg(F.percentile_approx("at", [i / n for i in range(1, n)], 100 * n)).first()[0] or []
+    cuts = rows.agg(F.percentile_approx("at", [i / n for i in range(1, n)], 100 * n)).first()[0] or [0.0]
     edges = [-float("inf"), *sorted(set(cuts)), float("inf")]
     cut = Bucketizer(splits=edges, inputCol="at", outputCol="bucket", handleInvalid="keep")
     rows = cut.transform(rows.withColumn("at", F.coalesce("at", F.lit(0.0)))).select("key", "text", F.when(F.col("key").isNull(), -1).otherwise(F.col("bucket").cast("int")).alias("run"))

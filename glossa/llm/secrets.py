@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glossa.llm import text as tx
 from glossa.runtime import stage
@@ -147,11 +148,11 @@ def redact(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str
     found = find(docs, text, repo, owner).where("size(specific) > 0").select(F.col("doc_id").alias("__r"), F.col("print").alias("__p"), "specific").dropDuplicates(["__r", "__p"])
     size = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(T.LongType())
     def printed(t):
         return t.map(lambda s: xxhash.xxh64_intdigest((s or "").encode()) - (1 << 63))
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def cleaned(t, spans):
         def one(s, found):
             for a, b in reversed(_merged(found)):

@@ -149,7 +149,9 @@ def write(pages: DataFrame, folder: str) -> None:
     """Write every row of ``pages`` (page_id, url, html) as a record of an archive in ``folder``."""
     rows = with_revisits(pages)
     path = pages.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-    qualified = path.getFileSystem(pages.sparkSession._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    store = path.getFileSystem(pages.sparkSession._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    qualified = store.makeQualified(path).toString()
     uri = "file://" + qualified[5:] if qualified.startswith("file:/") and not qualified.startswith("file://") else qualified
 
     def run(batches):

@@ -1,0 +1,429 @@
+"""The training-data operators against brute force, on a fixture of texts and on odd tables."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import math
+import random
+import re
+import struct
+import unicodedata
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from glossa.llm import bpe, fingerprint, langid, mixing, mpeg, neardup, registry, secrets, suffixtree, toxicity, warc
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, rep string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def crc(i, m):
+    return zlib.crc32(str(i).encode()) % m
+
+
+@pytest.fixture(scope="module")
+def rows(spark, sf):
+    """The smallest documents, and null, empty, short, odd, very long, copied and near-copied texts."""
+    out = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    base = out[3][1]
+    ws = base.split()
+    near = " ".join(ws[: len(ws) // 2] + ["changed"] + ws[len(ws) // 2 + 1 :])
+    odd = [None, "", " \t\n", "one", "two words", "ÄÖ ß é 中文 \U0001f600", "a" * 5000, base, near, " ".join(ws * 40), 'token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2" x', "12 34 !!", "x\x1cy\x85z\xa0w"]
+    return out + [(5000 + i, t, None if i % 3 else "en", None if i % 4 == 0 else "odd", None) for i, t in enumerate(odd)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([(*r, "k", "r") for r in rows], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def table(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def test_secrets(docs, rows, empty):
+    got = table(secrets.find(docs))
+    assign = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    for i, t, *_ in rows:
+        t = t or ""
+        want = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(t) if len(m[2]) >= 8]
+        want += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        want += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        text = ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(want))
+        r = got[i]
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(w[1] == k for w in want) for k in range(3))
+        assert {(s, e, k) for s, _, e, k in want} <= {(x.start, x.end, x.kind) for x in r["all"]}
+    assert len(got) == len(rows) and secrets.find(empty).count() == 0
+
+
+def test_secret_ownership(spark):
+    live, example = "k3Jd92LmQp81ZxTyR4wV6uNs0", "Zq71Lm02Kd93Jp45Xy68Tr9Wv"
+    rows = [(1, f"key {live}", "a"), (2, f"see {live} again", "a"), (3, f"x {example}", "a"), (4, f"y {example}", "b"), (4, f"y {example}", "b"), (5, None, "b"), (6, f"token={live}", None)]
+    df = spark.createDataFrame(rows[:-1], "doc_id long, text string, source string")
+    spans = {(r.doc_id, secrets_text(r)) for r in secrets.find(df).collect()}
+    assert spans == {(1, "entropy:4:29"), (2, "entropy:4:29"), (3, ""), (4, ""), (5, "")}
+    own = {r.n_owners: (r.n_repos, r.owner_specific) for r in secrets.ownership(secrets.scan(df)).collect()}
+    assert own == {1: (2, True), 2: (2, False)}
+    both = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id for r in secrets.find(both).where("size(specific) > 0").collect()} == set()
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean[1] == "key [SECRET]" and clean[3] == f"x {example}" and clean[5] is None
+
+
+def secrets_text(r):
+    return ",".join(f"{x.kind}:{x.start}:{x.end}" for x in r["all"])
+
+
+def test_mixing(docs, rows, empty):
+    got = mixing.summary(docs).collect()
+    sizes = {i: len(WORD.findall(t or "")) for i, t, *_ in rows}
+    assert len(got) == len(rows) and all(r["size"] == sizes[r.doc_id] for r in got)
+    source = {r[0]: r[3] for r in rows}
+    total = Counter()
+    for r in got:
+        total[source[r.doc_id]] += r["size"]
+        assert r.taken <= 3 * r["size"]
+    names = sorted(total, key=lambda s: (s is None, s or ""))
+    goal = dict(zip(names, mixing.targets([total[s] for s in names], [(1.0, 2.0, 3.0)[i % 3] for i in range(len(names))]), strict=True))
+    assert math.isclose(sum(goal.values()), sum(total.values()))
+    taken = Counter()
+    for r in got:
+        taken[source[r.doc_id]] += r.taken
+        assert math.isclose(r.target, goal[source[r.doc_id]]) and r.source_size == total[source[r.doc_id]]
+    assert all(abs(taken[s] - goal[s]) <= 1 for s in names)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.summary(docs.repartition(7)).collect()))
+    assert mixing.summary(empty).count() == 0
+
+
+def test_mixing_sample_holds_the_words_taken(docs, rows):
+    want = {r.doc_id: r.taken for r in mixing.summary(docs).collect()}
+    size = {i: len(WORD.findall(t or "")) for i, t, *_ in rows}
+    got, out = Counter(), mixing.sample(docs)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        got[r.doc_id] += len(WORD.findall(r.text or ""))
+    assert all(got[i] == want[i] for i in want) and all(i in {r.doc_id for r in out.collect()} for i in want if size[i] == 0)
+
+
+def test_mixing_permutation_and_targets():
+    plan = mixing.Plan([1000, 10, 70_000], [2500.0, 30.0, 13_333.4])
+    for s in range(3):
+        j = np.arange(plan.slots[s])
+        block, length = plan.block_of(np.full(len(j), s), j)
+        n = plan.blocks[s]
+        for e in range(0, len(j), n):
+            assert len(set(block[e : e + n])) == len(block[e : e + n])
+        assert length.sum() == round([2500.0, 30.0, 13_333.4][s])
+    assert mixing.targets([10, 100, 1000], [1, 2, 3]) == [30.0, 300.0, 780.0]
+    assert mixing.targets([], []) == [] and mixing.targets([0, 0], [1, 2]) == [0.0, 0.0]
+
+
+def test_toxicity(spark, docs, rows, empty, sf):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
+    field = toxicity.fit(big, labels, learn)
+    got = table(toxicity.score(big, field))
+    held = [r for r in labels.collect() if crc(r.doc_id, 5) == 0 and r.toxic is not None]
+    right = sum(got[r.doc_id].predicted == r.toxic for r in held)
+    assert right / len(held) >= 0.9
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
+    odd = table(toxicity.score(docs, field))
+    assert len(odd) == len(rows) and odd[5000].score == odd[5001].score
+    assert toxicity.score(empty, field).count() == 0
+    none = toxicity.fit(big, labels.where("false"), learn)
+    assert all(r.predicted in (0, 1) for r in toxicity.score(docs, none).limit(5).collect())
+
+
+def test_toxic_marginals_equal_enumeration():
+    import itertools
+
+    weights = {"emit": np.array([-2.0, 1.5, 0.3]), "trans": np.array([[0.2, -0.5], [0.1, 0.9]])}
+    field = toxicity.Field([b"bad", b"worse"], weights, np.zeros(5))
+    for ids in ([1], [0, 1], [1, 0, 0, 2, 0], [0, 0, 1, 2, 0, 1, 0, 0], [0, 2]):
+        total, hot = 0.0, np.zeros(len(ids))
+        for y in itertools.product((0, 1), repeat=len(ids)):
+            s = sum(weights["emit"][w] * v for w, v in zip(ids, y, strict=True)) + sum(weights["trans"][a, b] for a, b in zip(y, y[1:], strict=False))
+            total += math.exp(s)
+            hot += math.exp(s) * np.array(y)
+        at = [i for i, w in enumerate(ids) if w]
+        assert np.allclose(field.marginals(len(ids), at, [ids[i] for i in at]), (hot / total)[at], atol=1e-9)
+    text = "A bad, WORSE day"
+    assert [text[a:b] for a, b, _ in field.spans(text, 0.0)] == ["bad", "WORSE"]
+
+
+def test_suffix_tree(docs, rows, empty):
+    got = table(suffixtree.score(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1))
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    seqs = {i: [*WORD.findall(low(t or "")), None] for i, t, *_ in rows}
+    count = Counter(w for i, s in seqs.items() if crc(i, 5) != 1 for w in s)
+    n, v = sum(count.values()), len(count)
+    for i, s in seqs.items():
+        base = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in s)
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc(i, 5) == 1, len(s), sum(count[w] > 0 for w in s), n)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert len(got) == len(rows) and suffixtree.score(empty, F.lit(False)).count() == 0
+
+
+def test_suffix_tree_distributions_sum_to_one():
+    rng = random.Random(2)
+    names = list(range(1, 7))
+    text = [rng.choice(names) if rng.random() < 0.3 else (i % 5) + 1 for i in range(4000)]
+    count = Counter(text)
+    contexts = {}
+    for d in (1, 2):
+        for i in range(d, len(text)):
+            after = contexts.setdefault(tuple(text[i - d : i]), Counter())
+            after[text[i]] += 1
+    tree = suffixtree.Tree({c: (sum(a.values()), dict(a)) for c, a in contexts.items()}, dict(count), len(text), len(count))
+    assert tree.states > 0
+    base = (np.array([count[h] for h in tree.names.tolist()]) + 0.5) / tree.scale
+    for ctx in [(), (1,), (2, 3), (5, 1)]:
+        seq = [tree.names.tolist().index(h) for h in ctx]
+        mass = 0.0
+        for w in range(len(names)):
+            sym = np.array([*seq, w])
+            new = np.zeros(len(sym), bool)
+            new[0] = True
+            mass += base[w] * 10 ** tree.gains(sym, new)[-1]
+        sym = np.array([*seq, -1])
+        new = np.zeros(len(sym), bool)
+        new[0] = True
+        mass += (1 - base.sum()) * 10 ** tree.gains(sym, new)[-1]
+        assert math.isclose(mass, 1.0, rel_tol=1e-9)
+
+
+def brute_components(rows, width, threshold):
+    sets = {}
+    for i, t, *_ in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            common = len(sets[a] & sets[b])
+            if common and 100 * common >= threshold * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i: find(i) for i in sets}, sets
+
+
+@pytest.mark.parametrize(("width", "threshold"), [(3, 85), (5, 80)])
+def test_near_duplicates(docs, rows, width, threshold):
+    want, sets = brute_components(rows, width, threshold)
+    got = table(neardup.link(docs, width, threshold))
+    assert {i: r.component_id for i, r in got.items()} == want
+    assert all(r.kept == (i == r.component_id) and r.n_shingles == len(sets[i]) for i, r in got.items())
+    kept = neardup.deduplicate(docs, width, threshold)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == docs.columns
+
+
+def test_near_duplicates_in_a_large_group(spark, monkeypatch):
+    """Copies of one text that are linked to it but not to each other, in more than one node."""
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 400):
+        w = list(base)
+        for k in rng.sample(range(200), 5):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(f"z{i}_{k}" for k in range(50))) for i in range(50)]
+    monkeypatch.setattr(neardup, "NODE", 32)
+    want, _ = brute_components(rows, 3, 85)
+    got = table(neardup.link(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85))
+    assert {i: r.component_id for i, r in got.items()} == want
+
+
+def test_near_duplicates_of_odd_tables(spark, empty):
+    assert neardup.link(empty).count() == 0
+    rows = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "A  b c"), (3, None), (4, "")]
+    got = sorted(neardup.link(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=str)
+    assert [(r.doc_id, r.component_id, r.kept) for r in got if r.doc_id] == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (4, 4, True)]
+
+
+def test_fingerprints(docs, rows, empty):
+    got = table(fingerprint.with_edits(docs))
+    order = sorted(rows, key=lambda r: -r[0])
+    for k, (i, t, *_) in enumerate(order):
+        t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
+        n = len(t) // 3
+        edited = t[: len(t) - n] + nxt[:n]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        own, other, following = fingerprint.signatures([t, edited, nxt])
+        assert [r.fingerprint, r.edited_fingerprint] == fingerprint.to_hex(np.stack([own, other]))
+        assert math.isclose(r.near_edited, (own == other).mean()) and math.isclose(r.near_next, (own == following).mean())
+    assert len(got) == len(rows) and fingerprint.with_edits(empty).count() == 0
+    assert table(fingerprint.fingerprints(docs))[5007].fingerprint == got[3].fingerprint
+
+
+def test_fingerprint_estimates_and_matches(docs, rows):
+    want, sets = brute_components(rows, 5, 80)
+    got = {(r.query_id, r.doc_id): r.jaccard for r in fingerprint.matches(docs.where("doc_id % 100 = 7 OR doc_id = 5008"), docs).collect()}
+    for (a, b), j in got.items():
+        assert math.isclose(j, len(sets[a] & sets[b]) / len(sets[a] | sets[b]))
+    assert any(a == 5008 and b == 3 for a, b in got)
+    a, b = fingerprint.signatures([" ".join(map(str, range(300))), " ".join(map(str, range(30, 330)))])
+    assert abs((a == b).mean() - 266 / 326) < 0.2
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return registry.codec()
+
+
+def test_bpe_equals_the_library(codec, docs, rows, empty):
+    import tiktoken
+
+    lib = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    got = table(bpe.digests(docs, codec))
+    for i, t, *_ in rows:
+        ids = lib.encode_ordinary(t or "")
+        r = got[i]
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest() and r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    rng = random.Random(3)
+    alphabet = list("ab cd  \n\t'sré,.1½  \x1c\x85　​<|endoftext|>中ß'LL")
+    for _ in range(3000):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))
+        assert np.frombuffer(codec.encode(t), "<u4").tolist() == lib.encode_ordinary(t)
+    back = bpe.decode(bpe.encode(docs, codec), codec)
+    assert {r.doc_id: bytes(r.data) for r in back.collect()} == {r[0]: (r[1] or "").encode() for r in rows}
+    assert bpe.digests(empty, codec).count() == 0
+
+
+def test_perfect_hash_is_minimal(codec):
+    assert sorted(codec.hash.owner.tolist()) == list(range(len(codec.ranks)))
+    assert all(codec.lookup(t) == i for t, i in codec.ranks.items()) and codec.lookup(b"thntblere") == -1
+
+
+def test_media(docs, rows, empty):
+    got = table(mpeg.media_features(docs))
+    for i, t, *_ in rows:
+        raw = (t or "").encode()
+        payload = raw + b" " * (192 - len(raw) if not raw else -len(raw) % 192)
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert r.duration_samples == 1152 * len(r.frame_offsets) and r.sample_rate == 48000
+    streams = {r.doc_id: bytes(r.media) for r in mpeg.media_streams(docs).collect()}
+    assert all(hashlib.sha256(streams[i]).hexdigest() == r.media_sha256 and len(streams[i]) == r.media_bytes for i, r in got.items())
+    assert mpeg.media_features(empty).count() == 0
+
+
+def test_media_parsing_survives_damage():
+    data = bytes(range(250)) * 60
+    stream = mpeg.encode(data)
+    payload, found = mpeg.decode(stream)
+    assert payload == mpeg.pad(data) and found["vbr"]["frames"] == len(found["offsets"]) + 1 and found["vbr"]["bytes"] == len(stream) - found["vbr"]["offset"] and not found["bad_checksums"]
+    junk = b"\xff\xfb\x00junk\xff"
+    broken = mpeg.parse(junk + stream[:2000] + b"noise" + stream[2000:])
+    assert broken["skipped"] >= len(junk) and len(broken["offsets"]) >= len(found["offsets"]) - 1
+    bad = bytearray(stream)
+    bad[found["offsets"][1] + 4] ^= 1
+    assert mpeg.parse(bytes(bad))["bad_checksums"] == 1
+    assert mpeg.parse(b"")["samples"] == 0 and mpeg.crc16(b"123456789", 0xFFFF) == 0xAEE7
+
+
+def test_language(docs, rows, empty, spark, sf):
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learn = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+    got = table(langid.with_language(big, learn, keep=("doc_id", "lang")))
+    held = [r for i, r in got.items() if crc(i, 4) == 2]
+    assert sum(r.lang == r.lang_pred for r in held) / len(held) >= 0.97
+    odd = table(langid.identify(docs, langid.fit(big.where(learn))))
+    for i, t, *_ in rows:
+        letter = any(unicodedata.category(c).startswith("L") for c in t or "")
+        assert (odd[i].lang_pred == "und") != letter and 0 <= odd[i].score <= 1
+    assert langid.identify(empty, langid.fit(big.where(learn))).count() == 0
+    assert {r.lang_pred for r in langid.identify(docs, langid.fit(empty)).collect()} == {"und"}
+
+
+def test_language_margins_do_not_depend_on_the_batch(monkeypatch):
+    texts = [b"", b"ab", b"abc", b"the quick brown fox", b"x" * 500, b"der schnelle fuchs"]
+    off = np.cumsum([0, *map(len, texts)])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    weights = np.random.default_rng(0).integers(-1000, 1000, (2, langid.BUCKETS))
+    whole, n = langid.row_sums(off, data, weights)
+    monkeypatch.setattr(langid.tx, "BLOCK_BYTES", 7)
+    small, _ = langid.row_sums(off, data, weights)
+    assert (whole == small).all() and n.tolist() == [max(0, len(t) - 2) for t in texts]
+
+
+def test_warc(spark, empty):
+    big, same = "<p>" + "x" * 2000, "<b>" + "y" * 1500
+    rows = [(1, "http://a/é b", big), (2, None, big), (3, "u", same), (4, "u", "tiny"), (5, "u", "tiny"), (6, "u", None), (7, "u", same), (7, "u", same), (None, "u", "z" * 1200)] + [(100 + i, f"u{i}", f"<p>page {i} " + "text " * 300) for i in range(40)]
+    pages = spark.createDataFrame([(*r, "c", "k") for r in rows], "page_id long, url string, html string, digest string, size string")
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive(pages).collect()]
+    top = {}
+    for i, _, h in rows:
+        if h and len(h) >= 1000 and i is not None:
+            top[h] = max(top.get(h, 0), i)
+    want = []
+    for i, _, h in rows:
+        ref = top.get(h) if h and len(h) >= 1000 and top.get(h) != i else None
+        want.append((i, len(h or ""), hashlib.sha1((h or "").encode()).hexdigest(), "revisit" if ref else "response", ref))
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert warc.archive(empty.selectExpr("doc_id AS page_id", "text AS url", "text AS html")).count() == 0
+
+
+def test_warc_records_are_read_alone():
+    import io
+
+    sink = io.BytesIO()
+    out = warc.Writer(sink)
+    records = [warc.record(i, f"http://x/{i}", b"<p>" + b"common words of a page " * 40 + b"%d" % i, hashlib.sha1(b"<p>" + b"common words of a page " * 40 + b"%d" % i).hexdigest(), None) for i in range(30)]
+    for r in records:
+        out.add(r)
+    out.close()
+    data = sink.getvalue()
+    assert struct.unpack_from("<I", data)[0] == warc.SKIPPABLE and struct.unpack_from("<I", data, 4)[0] > 0
+    assert [x for _, x in warc.records(data)] == records
+    assert warc.parse(records[3])["page_id"] == 3 and warc.parse(records[3])["url"] == "http://x/3"
+    with pytest.raises(ValueError):
+        warc.parse(records[3].replace(b"common", b"commom", 1))
+
+
+def test_pipeline(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {}
+    for k, (name, step) in enumerate(corpus_pipeline.STAGES):
+        before, docs = docs, step(spark, docs, folder)
+        docs.write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        kept[name] = docs
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == before.columns
+    letters = {i for i, t, *_ in rows if any(map(str.isalpha, t or ""))}
+    assert {r.doc_id for r in kept["language_id"].collect()} == letters
+    want, _ = brute_components([(r.doc_id, r.text) for r in kept["language_id"].collect()], 5, 80)
+    assert {r.doc_id for r in kept["near_dedup"].collect()} == set(want.values())
+    assert kept["secret_scan"].count() == kept["near_dedup"].count()
+    texts = Counter((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in kept["mix_sources"].collect())
+    assert Counter((r.doc_id, r.decoded_sha256) for r in kept["tokenize"].collect()) == texts
+    assert json.dumps(sorted(kept["tokenize"].columns)) == json.dumps(sorted(corpus_pipeline.run(spark, folder).columns))

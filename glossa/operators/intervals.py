@@ -84,7 +84,7 @@ def owners(points: DataFrame, spans: DataFrame, key: list[str], point: str = "po
     cuts = F.explode(F.array(*[F.struct(F.lit(x).alias("level"), _bin(F.col(point), F.lit(x)).alias("bin")) for x in sorted(used)]))
     probes = points.select(*key, point).distinct().withColumn("c", cuts).select(*key, point, "c.level", "c.bin")
     hit = probes.join(bins, [*key, "level", "bin"]).where((F.col("start") <= F.col(point)) & (F.col(point) < F.col("end")))
-    best = hit.groupBy(*key, point).agg(F.min(F.struct((F.col("end") - F.col("start")).alias("n"), F.col(owner).alias("o"))).alias("b")).select(*key, point, F.col("b.o").alias("owner"))
+    best = hit.groupBy(*key, point).agg(F.min(F.struct((F.col("end") - F.col("start")).alias("n"), F.col(owner).alias("o"))).alias("__best")).select(*key, point, F.col("__best.o").alias("owner"))
     return points.join(best, [*key, point], "left")
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm import bpe, fingerprint, langid, mixing, mpeg, neardup, secrets, suffixtree, toxicity, warc
+from glossa.llm import bpe, fingerprint, langid, mixing, mpeg, neardup, oracles, secrets, suffixtree, toxicity, warc
 from glossa.runtime import crc_mod, table
 
 
@@ -57,9 +57,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(table(spark, sf_dir, "pages"))
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_toxicity, op4_suffix_tree, op5_near_dedup, op6_fingerprint, op7_bpe, op8_mpeg_audio, op9_language_id, op10_warc)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_near_dedup": oracles.OP5, "op10_warc": oracles.OP10}

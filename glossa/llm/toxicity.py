@@ -9,7 +9,8 @@ Forward-backward marginals give each token's chance of being toxic. Words
 outside the lexicon share one potential, so stretches of them are powers of
 one matrix in closed form and the whole text costs steps only at lexicon
 words. A document's score is a logistic function of its expected number of
-toxic tokens, its largest marginal and its length, fitted on the sample.
+toxic tokens, its largest marginal and its length, fitted on the sample and
+set to the classes' odds among all labelled rows.
 
 The sample has about ``SAMPLE`` labelled rows of either class (all of a rarer
 one), taken by a hash of the id; the lexicon holds at most ``LEXICON`` words.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from glossa.llm import text as tx
 from glossa.runtime import stage
 
-SAMPLE, LEXICON, MIN_DOCS, MIN_Z, MIN_ODDS = 2000, 256, 3, 3.5, 1.0
+SAMPLE, LEXICON, MIN_DOCS, MIN_Z, MIN_ODDS = 2000, 256, 3, 4.5, 3.0
 WINDOW, STEPS, RATE, PENALTY = 48, 150, 0.5, 1e-4
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _TOKEN = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]+")
@@ -54,9 +55,12 @@ def _lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> list[bytes]:
     """Words whose presence speaks for a toxic document, strongest first."""
     words = sample.select("toxic", "text").mapInArrow(_distinct, "toxic int, words array<binary>").select("toxic", F.explode("words").alias("w"))
     seen = words.groupBy("w").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).where(F.col("t") >= MIN_DOCS)
-    t, c = F.col("t") + 0.5, F.col("n") - F.col("t") + 0.5
-    odds = F.log(t / (n_toxic + 1 - t)) - F.log(c / (n_clean + 1 - c))
-    rated = seen.select("w", odds.alias("odds"), (odds / F.sqrt(1 / t + 1 / c)).alias("z")).where((F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_ODDS))
+    t, c = F.col("t"), F.col("n") - F.col("t")
+    odds = F.log((t + 0.5) / (n_toxic + 0.5 - t)) - F.log((c + 0.5) / (n_clean + 0.5 - c))
+    share = n_toxic / (n_toxic + n_clean)
+    part = lambda k, p: F.when(k > 0, k * F.log(k / (F.col("n") * F.lit(p)))).otherwise(0.0)
+    z = F.sqrt(2 * F.greatest(part(t, share) + part(c, 1 - share), F.lit(0.0)))
+    rated = seen.select("w", odds.alias("odds"), z.alias("z")).where((F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_ODDS))
     return [bytes(r.w) for r in rated.orderBy(F.desc("z"), "w").limit(LEXICON).collect()]
 
 
@@ -221,6 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", k
         y.append(t)
     if x:
         field.head = _logistic(np.array(x), np.array(y, float))
+        if got.get(1) and got.get(0):  # the classes' odds among all labelled rows, not those in the sample
+            field.head[0] += math.log(have[1] / got[1]) - math.log(have[0] / got[0])
     return field
 
 

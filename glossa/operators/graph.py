@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.runtime import stage
+from glossa.runtime import stage, unstage
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,6 +25,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         up = low.join(labels.select(F.col("node").alias("label"), F.col("label").alias("above")), "label", "left")
         new = stage(up.select("node", "was", F.least("label", "above").alias("label")), "labels")
+        unstage(labels)
         if not new.where("label <> was").limit(1).count():
+            unstage(both)
             return new.select("node", F.col("label").alias("component"))
-        labels = new.select("node", "label")
+        labels = new

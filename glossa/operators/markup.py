@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glossa.functions import css_kernel, html_kernel
+from glossa.functions import css_kernel, html_kernel, layout_kernel
 from glossa.functions.words import collapse_space
 from glossa.operators.rejects import first_failure
 
@@ -135,3 +135,19 @@ def first_positions(rows: DataFrame, key: str, value: str, order: str) -> DataFr
     """Values in order of first appearance within a key, repeats dropped."""
     w = Window.partitionBy(key, value).orderBy(order)
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+LAYOUT = T.StructType([T.StructField("html", T.StringType()), T.StructField("counts", T.MapType(T.StringType(), T.LongType())), T.StructField("code", T.StringType())])
+
+
+@F.pandas_udf(LAYOUT)
+def readable(html: pd.Series) -> pd.DataFrame:
+    """(html, counts, code): articles in the readable layout; one that cannot be parsed stays as it is, with a code."""
+    rows = []
+    for h in html:
+        try:
+            edits, counts = layout_kernel.edits((h or "").encode())
+            rows.append((html_kernel.replay((h or "").encode(), edits).decode(), dict(counts), None))
+        except html_kernel.HtmlError as e:
+            rows.append((h, {}, e.code))
+    return pd.DataFrame(rows, columns=["html", "counts", "code"])

@@ -364,3 +364,15 @@ def html_gate(spark, sf):
 @query("SELECT page_id, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")
 def escaped_urls(spark, sf):
     return table(spark, sf, "pages").select("page_id", words.escape_html(F.col("url")).alias("escaped"))
+
+
+ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+
+@query(f"""WITH {SQL_ITEMS}, a AS (SELECT id, {ESC.format('word')} AS w, {ESC.format('text')} AS t FROM heads)
+SELECT id AS doc_id, sha256('<div class="entry"><div class="glo-header"><span class="hw">' || w || '</span> <span class="glo-pos"><small>N</small></span></div><div class="glo-sense"> ' || t || '</div></div>') AS html_sha, 1::BIGINT AS headers FROM a""")
+def layout_profile(spark, sf):
+    esc = lambda c: words.escape_html(F.col(c))
+    article = F.concat(F.lit('<div class="entry"><span class="hw">'), esc("word"), F.lit("</span> <small>N</small> "), esc("payload"), F.lit("</div>"))
+    laid = items(spark, sf).select(F.col("id").alias("doc_id"), markup.readable(article).alias("r"))
+    return laid.select("doc_id", words.sha256(F.col("r.html")).alias("html_sha"), F.col("r.counts")["headers"].alias("headers"))

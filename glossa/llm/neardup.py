@@ -8,13 +8,16 @@ named by its own minimum there. Nodes of at most ``NODE`` documents are
 compared exhaustively and branch no further: all pairs on their minwise
 tokens first, and what may be linked (``SLACK`` standard deviations below the
 threshold count) on full sets. Larger nodes branch again, up to ``DEPTH``
-levels. What is still larger (dense groups of
-near copies, which no branching separates) is cut into hash blocks of about
-``NODE``, each compared exhaustively; the most linked document of the whole
-group, its centre, is then compared with all members outside its component.
-
-A pair at the threshold meets in one level of a tree with that probability,
-so ten trees find it but for 6e-9 at 0.85. A node returns the links that
+levels. Dense groups of near copies, which branching
+hardly separates, are met in two more ways: the documents of larger nodes of
+the first and last level are also cut into hash blocks of about ``NODE``, each
+compared like a small node, and the centres of a dense node, the ``CENTRES``
+documents with the largest share of likely links within their blocks, are
+compared with all of its documents that are not in their component yet.
+
+A pair at the threshold meets at the first level of a tree with that
+probability, so eight trees find it but for 3e-7 at 0.85 and 3e-6 at 0.8.
+A node returns the links that
 connect it (a star for each linked part), so a group of m documents costs m
 rows, never m squared. Sizes of nodes are counted before their members are
 gathered, so no task gathers more than about ``NODE`` documents of a group.
@@ -34,17 +37,19 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.llm import text as tx
 from glossa.operators.graph import connected_components
-from glossa.runtime import partitions, stage
+from glossa.runtime import partitions, stage, unstage
 
 WIDTH, THRESHOLD = 5, 80
-COORDINATES, TREES, DEPTH, NODE, SEED = 64, 10, 4, 128, 5
+COORDINATES, TREES, DEPTH, NODE, SEED = 64, 8, 4, 128, 5
 #: A linked pair with fewer equal coordinates than the cut has a chance below 1e-7.
 SLACK = 5.5
+#: A node is dense if a document may be linked with this share of its block; other nodes shrink by branching.
+CENTRES, DENSE = 3, 0.1
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,7 +66,7 @@ def _sets(width: int):
                     s = np.unique(flat[lo:hi])
                     n.append(len(s))
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                    sigs.append(sig[r].astype("<u4").tobytes() if len(s) else None)
+                    sigs.append(sig[r].astype("<u2").tobytes() if len(s) else None)
                     sketches.append(sig[r].astype(np.uint8).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, sigs, sketches))], ["doc_id", "n_shingles", "key", "sig", "sketch"])
 
@@ -84,27 +89,27 @@ def _children(path: np.ndarray, branching: float) -> tuple[np.ndarray, np.ndarra
 
 
 def _branch(branching: float, level: int):
-    """Children of each row (rep, path, sig); at level 0 a row is (rep, sig) at the root of every tree."""
+    """Children of each row (rep, sig, paths); at level 0 a row is (rep, sig), at the root of every tree."""
 
     def run(batches):
         for batch in batches:
             rep = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(len(rep), COORDINATES)
-            reps, paths = [], []
-            trees = range(TREES) if level == 0 else [None]
-            for tree in trees:
-                path = tx.mix64(np.full(len(rep), tree + 1, np.uint64) * GOLDEN) if level == 0 else batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                rows, coords = _children(path, branching)
-                child = tx.mix64(tx.mix64(path[rows] + np.uint64(level + 1)) ^ (sig[rows, coords].astype(np.uint64) << np.uint64(8) | coords.astype(np.uint64)))
-                reps.append(rep[rows])
-                paths.append(child.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(reps) if reps else rep), pa.array(np.concatenate(paths) if paths else rep)], ["rep", "path"])
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(len(rep), COORDINATES)
+            if level == 0:
+                at = np.repeat(np.arange(len(rep)), TREES)
+                path = tx.mix64(np.tile(np.arange(1, TREES + 1, dtype=np.uint64), len(rep)) * GOLDEN)
+            else:
+                at = np.repeat(np.arange(len(rep)), batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+                path = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            rows, coords = _children(path, branching)
+            child = tx.mix64(tx.mix64(path[rows] + np.uint64(level + 1)) ^ (sig[at[rows], coords].astype(np.uint64) << np.uint64(8) | coords.astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(rep[at[rows]]), pa.array(child.view(np.int64))], ["rep", "path"])
 
     return run
 
 
-def _linked(sets: list[np.ndarray], threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Part (smallest index) and number of links of each of a node's sets, all pairs compared exactly."""
+def _linked(sets: list[np.ndarray], threshold: int) -> np.ndarray:
+    """Part (smallest index) of each of a node's sets, all pairs compared exactly."""
     m = len(sets)
     size = np.fromiter(map(len, sets), np.int64, m)
     values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
@@ -132,15 +137,24 @@ def _linked(sets: list[np.ndarray], threshold: int) -> tuple[np.ndarray, np.ndar
             while front:
                 new = np.flatnonzero(link[front].any(axis=0) & (part < 0))
                 part[new], front = s, new.tolist()
-    return part, link.sum(axis=1)
+    return part
 
 
-def _likely(threshold: int):
-    """Reads rows (node, rep, sketch) in order of node; gives each part of a node whose pairs may be linked, as sorted ids."""
+def _cut(threshold: int) -> int:
+    """Equal coordinates that a linked pair has at least."""
     t = threshold / 100
-    least = math.floor(COORDINATES * t - SLACK * math.sqrt(COORDINATES * t * (1 - t)))
+    return math.floor(COORDINATES * t - SLACK * math.sqrt(COORDINATES * t * (1 - t)))
+
+
+def _likely(threshold: int):
+    """Reads rows (node, rep, sketch) in order of node.
+
+    Gives the sorted ids of each part of a node whose pairs may be linked, and
+    each node's document with the most such pairs, with its share of them.
+    """
+    least = _cut(threshold)
 
-    def parts(reps, sketches, out):
+    def parts(name, reps, sketches, out):
         reps, first = np.unique(np.array(reps, np.int64), return_index=True)
         x = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, COORDINATES)[first]
         equal = np.zeros((len(reps), len(reps)), np.uint8)
@@ -155,7 +169,15 @@ def _likely(threshold: int):
         order = np.argsort(part, kind="stable")
         for group in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
             if len(group) > 1:
-                out.append(reps[group].tolist())
+                out.append((name, reps[group].tolist(), None, None))
+        degree = near.sum(axis=1) - 1
+        best = int(degree.argmax())
+        if degree[best]:
+            out.append((name, None, int(reps[best]), float(degree[best] / (len(reps) - 1))))
+
+    def batch_of(rows):
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.float64()), strict=True)], ["node", "reps", "centre", "degree"])
 
     def run(batches):
         name, reps, sketches = None, [], []
@@ -164,33 +186,43 @@ def _likely(threshold: int):
             for n, r, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if n != name:
                     if len(reps) > 1:
-                        parts(reps, sketches, out)
+                        parts(name, reps, sketches, out)
                     name, reps, sketches = n, [], []
                 reps.append(r)
                 sketches.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["reps"])
+            yield batch_of(out)
         out = []
         if len(reps) > 1:
-            parts(reps, sketches, out)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["reps"])
+            parts(name, reps, sketches, out)
+        yield batch_of(out)
+
+    return run
+
+
+def _near_pairs(threshold: int):
+    """Of rows (rep, centre, sketch, of_centre), the pairs that may be linked."""
+    least = _cut(threshold)
+
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((a == b).sum(axis=1) >= least))
 
     return run
 
 
 def _compare(width: int, threshold: int):
-    """Reads rows (node, rep, text) in order of node and rep; gives each node's links and its centre."""
+    """Reads rows (node, rep, text) in order of node and rep; gives the links that connect each node's parts."""
 
-    def node(name, reps, texts, out):
+    def node(reps, texts, out):
         at = [i for i in range(len(reps)) if i == 0 or reps[i] != reps[i - 1]]
         if len(at) < 2:
             return
         flat, off = tx.shingles([tx.words(texts[i]) for i in at], width)
         sets = [np.unique(flat[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
-        part, links = _linked(sets, threshold)
+        part = _linked(sets, threshold)
         ids = [reps[i] for i in at]
-        out += [(name, ids[p], ids[i], 0.0) for i, p in enumerate(part.tolist()) if p != i]
-        best = int(links.argmax())
-        out.append((name, ids[best], None, float(links[best] / (len(ids) - 1))))
+        out += [(ids[p], ids[i]) for i, p in enumerate(part.tolist()) if p != i]
 
     def run(batches):
         name, reps, texts = None, [], []
@@ -199,29 +231,29 @@ def _compare(width: int, threshold: int):
             for n, r, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if n != name:
                     if reps:
-                        node(name, reps, texts, out)
+                        node(reps, texts, out)
                     name, reps, texts = n, [], []
                 reps.append(r)
                 texts.append(t or "")
             yield _edges(out)
         out = []
         if reps:
-            node(name, reps, texts, out)
+            node(reps, texts, out)
         yield _edges(out)
 
     return run
 
 
 def _edges(rows) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["node", "a", "b", "degree"])
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 2
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
 
 def _compared(members: DataFrame, docs: DataFrame, width: int, threshold: int, label: str) -> DataFrame:
-    """Links (a, b) and centres (a, degree) of the nodes given as rows (node, rep)."""
-    rows = members.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select("node", "rep", "text")
+    """Links (a, b) within the nodes given as rows (node, rep)."""
+    rows = members.hint("merge").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select("node", "rep", "text")
     runs = rows.repartition(partitions(docs.sparkSession), "node").sortWithinPartitions("node", "rep", "text")
-    return stage(runs.mapInArrow(_compare(width, threshold), "node long, a long, b long, degree double"), label)
+    return stage(runs.mapInArrow(_compare(width, threshold), "a long, b long"), label)
 
 
 def link(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -236,44 +268,50 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, text:
     first = base.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
     rows = base.join(first, "key", "left").select("doc_id", "n_shingles", "rep", *(F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("sig", "sketch")))
     rows = stage(rows, "members")
+    unstage(base)
     reps = rows.where("sig IS NOT NULL").select("rep", "sig")
     sketches = rows.where("sig IS NOT NULL").select("rep", "sketch")
     branching = 100 / threshold
 
-    level, nodes, tree = 0, [], reps.mapInArrow(_branch(branching, 0), "rep long, path long")
+    held, level, nodes, larger, tree = [], 0, None, None, reps.mapInArrow(_branch(branching, 0), "rep long, path long")
     while True:
-        tree = stage(tree.distinct(), "paths")
-        sizes = tree.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        tree = stage(tree.join(sizes, "path"), "paths")
-        small = tree.where(F.col("n") <= NODE).groupBy("path").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
-        nodes.append(small.select("reps").distinct().select(F.xxhash64("reps").alias("node"), "reps"))
+        drawn = stage(tree, "paths")
+        sizes = drawn.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        tree = stage(drawn.join(sizes, "path"), "paths")
+        unstage(drawn)
+        held.append(tree)
+        small = tree.where(F.col("n") <= NODE).groupBy("path").agg(F.sort_array(F.collect_set("rep")).alias("reps")).where("size(reps) > 1").select("reps").distinct()
         large = tree.where(F.col("n") > NODE)
         level += 1
+        nodes = small if nodes is None else nodes.union(small)
+        if level in (1, DEPTH):
+            larger = large if larger is None else larger.union(large)
         if level == DEPTH or not large.limit(1).count():
             break
-        tree = large.join(reps, "rep").select("rep", "sig", "path").mapInArrow(_branch(branching, level), "rep long, path long")
-
-    listed = nodes[0]
-    for more in nodes[1:]:
-        listed = listed.union(more)
-    listed = listed.distinct().select("node", F.explode("reps").alias("rep"))
-    runs = listed.join(sketches, "rep").select("node", "rep", "sketch").repartition(partitions(spark), "node").sortWithinPartitions("node", "rep")
-    likely = runs.mapInArrow(_likely(threshold), "reps array<long>").distinct()
-    listed = likely.select(F.xxhash64("reps").alias("node"), F.explode("reps").alias("rep"))
-    blocks = large.select("path", "rep", F.xxhash64("path", F.pmod(F.xxhash64("rep", "path"), F.ceil(F.col("n") / NODE))).alias("node"))
-    found = _compared(listed.union(blocks.select("node", "rep")), docs, width, threshold, "links")
-    links = found.where("b IS NOT NULL").select("a", "b")
-    if level == DEPTH and large.limit(1).count():
-        labels = connected_components(links)
-        parent = blocks.select("path", "node").distinct()
-        centre = found.where("b IS NULL").join(parent, "node").groupBy("path").agg(F.max(F.struct("degree", "a")).alias("m")).select("path", F.col("m.a").alias("centre"))
-        own = labels.select(F.col("node").alias("rep"), F.col("component").alias("c1"))
-        whose = labels.select(F.col("node").alias("centre"), F.col("component").alias("c2"))
-        pairs = large.select("path", "rep").join(centre.join(whose, "centre", "left"), "path").select("rep", "centre", "c2").distinct().join(own, "rep", "left")
-        apart = pairs.where("rep <> centre AND coalesce(c1, rep) <> coalesce(c2, centre)").select("rep", "centre").distinct()
-        both = apart.select(F.xxhash64("rep", "centre").alias("node"), F.explode(F.array("rep", "centre")).alias("rep"))
-        links = links.union(_compared(both, docs, width, threshold, "centres").where("b IS NOT NULL").select("a", "b"))
-    labels = connected_components(links).withColumnRenamed("node", "rep")
+        packed = large.groupBy("rep").agg(F.collect_set("path").alias("paths"))
+        tree = packed.join(reps, "rep").select("rep", "sig", "paths").mapInArrow(_branch(branching, level), "rep long, path long")
+
+    listed = nodes.distinct().select(F.xxhash64("reps").alias("node"), F.explode("reps").alias("rep"))
+    blocks = larger.select("path", "rep", F.xxhash64("path", F.pmod(F.xxhash64("rep", "path"), F.ceil(F.col("n") / NODE))).alias("node"))
+    runs = listed.union(blocks.select("node", "rep")).hint("merge").join(sketches, "rep").select("node", "rep", "sketch").repartition(partitions(spark), "node").sortWithinPartitions("node", "rep")
+    likely = stage(runs.mapInArrow(_likely(threshold), "node long, reps array<long>, centre long, degree double"), "likely")
+    parts = likely.where("reps IS NOT NULL").select("reps").distinct().select(F.xxhash64("reps").alias("node"), F.explode("reps").alias("rep"))
+    found = _compared(parts, docs, width, threshold, "links")
+
+    labels = connected_components(found)
+    best = likely.where(F.col("degree") >= DENSE).join(blocks.select("path", "node").distinct(), "node")
+    rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("degree"), "centre"))
+    centres = best.select("path", "centre", "degree").distinct().withColumn("k", rank).where(F.col("k") <= CENTRES).select("path", "centre")
+    own = labels.select(F.col("node").alias("rep"), F.col("component").alias("c1"))
+    whose = labels.select(F.col("node").alias("centre"), F.col("component").alias("c2"))
+    pairs = larger.select("path", "rep").join(centres.join(whose, "centre", "left"), "path").where("rep <> centre").select("rep", "centre", "c2").distinct().join(own, "rep", "left")
+    apart = pairs.where("coalesce(c1, rep) <> coalesce(c2, centre)").select("rep", "centre")
+    met = apart.hint("merge").join(sketches, "rep").join(sketches.select(F.col("rep").alias("centre"), F.col("sketch").alias("of_centre")), "centre")
+    near = stage(met.select("rep", "centre", "sketch", "of_centre").mapInArrow(_near_pairs(threshold), "rep long, centre long"), "centres")
+    both = near.select(F.xxhash64("rep", "centre").alias("node"), F.explode(F.array("rep", "centre")).alias("rep"))
+    more = _compared(both, docs, width, threshold, "centres")
+    labels = connected_components(found.union(more)).withColumnRenamed("node", "rep")
+    unstage(*held, likely, near, found, more)
     out = rows.drop("sig", "sketch").join(labels, "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -155,7 +155,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     plan = Plan(sizes, goal)
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK))))
     drawn = _slots(spark, plan)
-    met = pieces.join(drawn, ["sid", "block"])
+    met = pieces.join(drawn.hint("merge"), ["sid", "block"])  # both sides grow with the corpus
     lo = F.greatest(F.col("start"), F.col("block") * BLOCK) - F.col("start")
     hi = F.least(F.col("start") + F.col("size"), F.col("block") * BLOCK + F.col("length")) - F.col("start")
     taken = met.select("doc_id", "sid", "size", "start", "shard", "slot", lo.alias("lo"), hi.alias("hi")).where("hi > lo")

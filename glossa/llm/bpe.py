@@ -36,7 +36,7 @@ from glossa.llm import text as tx
 SPACES = "\t-\r \x85\xa0  -     　"
 #: Runs on which the pattern works independently: white space, or other text with one space before it.
 RUNS = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-GENERATION = 500_000
+GENERATION = 200_000
 
 
 class MinimalPerfectHash:

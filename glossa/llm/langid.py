@@ -39,6 +39,8 @@ UND = "und"
 #: Integer weights are real ones times this.
 SCALE = 1 << 20
 RATE, PENALTY, STEPS = 0.5, 1e-3, 80
+#: Rows of a batch that are predicted at once.
+SLICE = 1000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -194,16 +196,19 @@ def predictor(model: dict):
 def identify(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``lang_pred`` and ``score`` for every row of ``docs``."""
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    read = keep if text in keep else (*keep, text)
 
     def run(batches):
         predict = predictor(model)
-        for batch in batches:
-            col = batch.column(len(keep))
-            letters = np.fromiter((any(map(str.isalpha, t)) for t in tx.texts(col)), bool, len(col))
-            pred, score = predict(*tx.utf8_buffer(col), letters)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
-
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+        for whole in batches:
+            for lo in range(0, len(whole), SLICE):
+                batch = whole.slice(lo, SLICE)
+                col = batch.column(read.index(text))
+                letters = np.fromiter((any(map(str.isalpha, t)) for t in tx.texts(col)), bool, len(col))
+                pred, score = predict(*tx.utf8_buffer(col), letters)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+
+    return docs.select(*read).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def with_language(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

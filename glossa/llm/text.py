@@ -13,7 +13,7 @@ from xxhash import xxh64_intdigest
 
 MASK64 = (1 << 64) - 1
 #: Bytes of text that a kernel expands to numpy arrays at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def utf8_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +47,7 @@ def row_blocks(sizes: np.ndarray, limit: int):
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to ``bound`` words."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 200_000):
         super().__init__()
         self.bound = bound
 

@@ -15,6 +15,14 @@ compared like a small node, and the centres of a dense node, the ``CENTRES``
 documents with the largest share of likely links within their blocks, are
 compared with all of its documents that are not in their component yet.
 
+The documents of nodes that are still large at the last level are then joined
+exactly, whatever tree they met in: a linked pair shares a shingle among the
+rarest of either (the prefix filter), so those who share one and are in
+different components are compared. Where more than ``NODE`` share one, they
+are cut into blocks and every two blocks are compared, but for the blocks of
+the component that most of them are in; this is quadratic only in documents
+that share rare shingles and are not linked.
+
 A pair at the threshold meets at the first level of a tree with that
 probability, so eight trees find it but for 3e-7 at 0.85 and 3e-6 at 0.8.
 A node returns the links that
@@ -33,6 +41,7 @@ one set; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -256,6 +265,46 @@ def _compared(members: DataFrame, docs: DataFrame, width: int, threshold: int, l
     return stage(runs.mapInArrow(_compare(width, threshold), "a long, b long"), label)
 
 
+def _tokens(width: int):
+    """Of rows (rep, text), the distinct shingles of each as rows (rep, token)."""
+
+    def run(batches):
+        for batch in batches:
+            reps, texts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), tx.texts(batch.column(1))
+            for i, j in tx.row_blocks(np.fromiter(map(len, texts), np.int64, len(texts)), tx.BLOCK_BYTES):
+                flat, at = tx.shingles([tx.words(t) for t in texts[i:j]], width)
+                token = [np.unique(flat[lo:hi]) for lo, hi in zip(at[:-1], at[1:], strict=True)]
+                rep = np.repeat(reps[i:j], [len(t) for t in token])
+                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.concatenate(token).view(np.int64))], ["rep", "token"])
+
+    return run
+
+
+def _sharing(rest: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Of rows (rep, comp), nodes (reps) in which every linked pair of different ``comp`` meets, by the prefix filter."""
+    texts = rest.select("rep").hint("merge").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").groupBy("rep").agg(F.min("text").alias("text"))
+    tokens = stage(texts.mapInArrow(_tokens(width), "rep long, token long"), "tokens")
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    of = Window.partitionBy("rep")
+    ranked = tokens.hint("merge").join(often, "token").withColumn("k", F.row_number().over(of.orderBy("df", "token"))).withColumn("n", F.count(F.lit(1)).over(of))
+    prefix = ranked.where((F.col("df") > 1) & (F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1)).select("rep", "token")
+    prefix = stage(prefix.hint("merge").join(rest, "rep").select("rep", "token", "comp"), "prefixes")
+    unstage(tokens)
+    by = prefix.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+    shared = by.groupBy("token").agg(F.sum("k").alias("s"), F.max("k").alias("m"), F.max_by("comp", "k").alias("most")).where("s > m")
+    half = NODE // 2
+    inner, ours, others = F.col("comp") == F.col("most"), F.ceil(F.col("m") / half), F.ceil((F.col("s") - F.col("m")) / half)
+    block = F.pmod(F.xxhash64("rep"), F.when(inner, ours).otherwise(others))
+
+    def cells(kind, count, of):
+        return F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda j: F.xxhash64(F.lit(kind), *of(j)))
+
+    across = F.when(inner, cells("m", others, lambda j: (j, block))).otherwise(F.concat(cells("m", ours, lambda j: (block, j)), cells("u", others, lambda j: (F.least(block, j), F.greatest(block, j)))))
+    at = F.when(F.col("s") <= NODE, F.array(F.lit(0).cast("long"))).otherwise(across)
+    placed = prefix.hint("merge").join(shared, "token").select("token", "rep", F.explode(at).alias("cell"))
+    return placed.groupBy("token", "cell").agg(F.sort_array(F.collect_set("rep")).alias("reps")).where("size(reps) > 1").select("reps").distinct()
+
+
 def link(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
@@ -286,7 +335,8 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, text:
         nodes = small if nodes is None else nodes.union(small)
         if level in (1, DEPTH):
             larger = large if larger is None else larger.union(large)
-        if level == DEPTH or not large.limit(1).count():
+        residual = bool(large.limit(1).count())
+        if level == DEPTH or not residual:
             break
         packed = large.groupBy("rep").agg(F.collect_set("path").alias("paths"))
         tree = packed.join(reps, "rep").select("rep", "sig", "paths").mapInArrow(_branch(branching, level), "rep long, path long")
@@ -310,8 +360,18 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, text:
     near = stage(met.select("rep", "centre", "sketch", "of_centre").mapInArrow(_near_pairs(threshold), "rep long, centre long"), "centres")
     both = near.select(F.xxhash64("rep", "centre").alias("node"), F.explode(F.array("rep", "centre")).alias("rep"))
     more = _compared(both, docs, width, threshold, "centres")
-    labels = connected_components(found.union(more)).withColumnRenamed("node", "rep")
-    unstage(*held, likely, near, found, more)
+    found = [found, more]
+    labels = connected_components(found[0].union(more)).withColumnRenamed("node", "rep")
+    if residual:
+        rest = large.select("rep").distinct().join(labels, "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"))
+        reps_of = stage(_sharing(stage(rest, "residual"), docs, width, threshold), "sharing")
+        met = reps_of.select(F.xxhash64("reps").alias("node"), F.explode("reps").alias("rep")).hint("merge").join(sketches, "rep").select("node", "rep", "sketch")
+        last = stage(met.repartition(partitions(spark), "node").sortWithinPartitions("node", "rep").mapInArrow(_likely(threshold), "node long, reps array<long>, centre long, degree double"), "likely")
+        parts = last.where("reps IS NOT NULL").select("reps").distinct().select(F.xxhash64("reps").alias("node"), F.explode("reps").alias("rep"))
+        found.append(_compared(parts, docs, width, threshold, "residual"))
+        labels = connected_components(reduce(DataFrame.union, found)).withColumnRenamed("node", "rep")
+        unstage(reps_of, last)
+    unstage(*held, likely, near, *found)
     out = rows.drop("sig", "sketch").join(labels, "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

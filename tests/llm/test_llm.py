@@ -257,6 +257,31 @@ def test_near_duplicates_in_a_large_group(spark, monkeypatch):
     assert {i: r.component_id for i, r in got.items()} == want
 
 
+def test_near_duplicates_within_a_template(spark, monkeypatch):
+    """Few near copies and a graded chain among texts of one template, which link with nothing else."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        w = [f"w{k}" for k in range(200)]
+        for k in rng.sample(range(200), 5):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+        if i % 5 == 0:
+            for k in (20, 70, 120, 170):
+                w[k] = f"y{i}_{k}"
+            rows.append((1000 + i, " ".join(w)))
+    w = rows[0][1].split()
+    for i in range(30):
+        for k in (6 * i, 6 * i + 3):
+            w[k] = f"z{i}_{k}"
+        rows.append((2000 + i, " ".join(w)))
+    monkeypatch.setattr(neardup, "NODE", 8)
+    want, _ = brute_components(rows, 3, 85)
+    assert 200 < len(set(want.values())) < 320
+    got = table(neardup.link(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85))
+    assert {i: r.component_id for i, r in got.items()} == want
+
+
 def test_near_duplicates_of_odd_tables(spark, empty):
     assert neardup.link(empty).count() == 0
     rows = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "A  b c"), (3, None), (4, "")]

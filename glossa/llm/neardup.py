@@ -11,7 +11,7 @@ threshold count) on full sets. Larger nodes branch again, up to ``DEPTH``
 levels. Dense groups of near copies, which branching
 hardly separates, are met in two more ways: the documents of larger nodes of
 the first and last level are also cut into hash blocks of about ``NODE``, each
-compared like a small node, and the centres of a dense node, the ``CENTRES``
+compared like a small node, and the centres of a node, the ``CENTRES``
 documents with the largest share of likely links within their blocks, are
 compared with all of its documents that are not in their component yet.
 
@@ -23,8 +23,9 @@ are cut into blocks and every two blocks are compared, but for the blocks of
 the component that most of them are in; this is quadratic only in documents
 that share rare shingles and are not linked.
 
-A pair at the threshold meets at the first level of a tree with that
-probability, so eight trees find it but for 3e-7 at 0.85 and 3e-6 at 0.8.
+A pair at the threshold may be parted at each level. Twelve trees miss one
+that has to meet at the last level with 6e-7 at 0.85 and 4e-6 at 0.8
+(``recall_at``), and fewer at the levels before.
 A node returns the links that
 connect it (a star for each linked part), so a group of m documents costs m
 rows, never m squared. Sizes of nodes are counted before their members are
@@ -54,11 +55,10 @@ from glossa.operators.graph import connected_components
 from glossa.runtime import partitions, stage, unstage
 
 WIDTH, THRESHOLD = 5, 80
-COORDINATES, TREES, DEPTH, NODE, SEED = 64, 8, 4, 128, 5
+COORDINATES, TREES, DEPTH, NODE, SEED = 64, 12, 3, 128, 5
 #: A linked pair with fewer equal coordinates than the cut has a chance below 1e-7.
 SLACK = 5.5
-#: A node is dense if a document may be linked with this share of its block; other nodes shrink by branching.
-CENTRES, DENSE = 3, 0.1
+CENTRES = 3
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -349,7 +349,7 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, text:
     found = _compared(parts, docs, width, threshold, "links")
 
     labels = connected_components(found)
-    best = likely.where(F.col("degree") >= DENSE).join(blocks.select("path", "node").distinct(), "node")
+    best = likely.where("centre IS NOT NULL").join(blocks.select("path", "node").distinct(), "node")
     rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("degree"), "centre"))
     centres = best.select("path", "centre", "degree").distinct().withColumn("k", rank).where(F.col("k") <= CENTRES).select("path", "centre")
     own = labels.select(F.col("node").alias("rep"), F.col("component").alias("c1"))
@@ -383,6 +383,10 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD,
     return docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
 
 
-def recall_at(similarity: float) -> float:
-    """Chance that a pair of this similarity meets at the first level of one tree at least."""
-    return 1 - math.pow(1 - similarity, TREES)
+def recall_at(similarity: float, threshold: int = THRESHOLD, level: int | None = None) -> float:
+    """Chance that a pair of this similarity meets at a level (the last one) of one tree at least."""
+    more, apart = 100 / threshold - 1, 0.0
+    for _ in range(level or DEPTH):
+        lost = 1 - similarity * (1 - apart)
+        apart = lost * (1 - more + more * lost)
+    return 1 - math.pow(apart, TREES)

@@ -282,6 +282,17 @@ def test_near_duplicates_within_a_template(spark, monkeypatch):
     assert {i: r.component_id for i, r in got.items()} == want
 
 
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_near_duplicate_trees_miss_few_pairs_at_the_last_level(threshold):
+    t, rng, more = threshold / 100, np.random.default_rng(0), 100 / threshold - 1
+    together = np.ones(400_000, np.int64)  # nodes of a tree that a pair at the threshold shares
+    for _ in range(neardup.DEPTH):
+        together = rng.binomial(together + rng.binomial(together, more), t)
+    apart = (together == 0).mean()
+    assert apart**neardup.TREES < 1e-5
+    assert math.isclose(1 - neardup.recall_at(t, threshold), apart**neardup.TREES, rel_tol=0.1)
+
+
 def test_near_duplicates_of_odd_tables(spark, empty):
     assert neardup.link(empty).count() == 0
     rows = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "A  b c"), (3, None), (4, "")]

@@ -13,9 +13,10 @@ one. A text is scored from the longest suffix state before each symbol.
 Counts cover all training text. Word counts are exact: each chunk of texts
 packs its distinct words by hash bucket, a bucket is summed in one place and
 the sums return to the chunks, so what is shuffled are distinct words of
-chunks and not occurrences. Context counts leave out, within a chunk, what is
-rarer there than half the thresholds; the sums are thus below the true counts
-by less than half of what a state or a symbol needs. The tree has at most
+chunks and not occurrences. A second pass counts, exactly too, every next
+symbol of the contexts whose words each make up ``P_MIN``, as a context is no
+more frequent than its words; thresholds apply to the sums only, so neither
+states nor scores depend on how texts are cut into chunks. The tree has at most
 DEPTH / P_MIN states with 1 / GAMMA symbols each, whatever the input.
 
 Words are identified by 64-bit hashes. Defined cases: a null text is an empty
@@ -38,6 +39,8 @@ from glossa.runtime import partitions, stage
 DEPTH, P_MIN, GAMMA = 3, 2e-4, 0.01
 DIVERGENCE, EVIDENCE, DISCOUNT = 0.01, 12.0, 0.5
 CHUNK_BYTES = 16 << 20
+#: Counts of contexts in a batch.
+PACK = 1 << 16
 END = tx.xxh64_intdigest(b"")
 SCHEMA = "kind string, chunk long, bucket int, doc_id long, held_out boolean, n long, one binary, two binary, three binary"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -55,40 +58,50 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, TYPES, strict=True)], NAMES)
 
 
-def _contexts(flat: np.ndarray, new: np.ndarray, vocab: np.ndarray, counts: np.ndarray, chunk: int):
-    """Rows for the chunk's frequent contexts: their own count, and those of their frequent next symbols."""
-    total, size = len(flat), len(vocab)
-    yield ("c", chunk, None, None, None, total, b"", None, None)
-    least = max(2.0, P_MIN / 2 * total)
-    # state[t]: index of the context of the current length that ends at t, or -1
-    often = np.flatnonzero(counts >= least)
-    index = np.full(size, -1)
-    index[often] = np.arange(len(often))
-    state, names, seen = index[flat], vocab[often][:, None], counts[often]
+def _contexts(flat: np.ndarray, new: np.ndarray, vocab: np.ndarray, often: np.ndarray):
+    """Packs (depth, contexts, next symbols, counts) of all the chunk's contexts of words in ``often``."""
+    size = len(vocab)
+    use = np.isin(vocab, often)
+    use[0] = False
     starts = np.flatnonzero(new)
-    state[flat == 0] = -1
+    state, names = np.where(use[flat], flat, -1), vocab[:, None]
     for depth in range(1, DEPTH + 1):
         before = np.concatenate([[-1], state[:-1]])
         before[starts] = -1
         at = np.flatnonzero(before >= 0)
         if not len(at):
             return
-        code, n = np.unique(before[at] * size + flat[at], return_counts=True)
+        code, inverse, n = np.unique(before[at] * size + flat[at], return_inverse=True, return_counts=True)
         ctx, nxt = np.divmod(code, size)
-        keep = n >= np.maximum(2, GAMMA / 2 * seen[ctx])
-        for c in np.unique(ctx[keep]).tolist():
-            lo, hi = np.searchsorted(ctx, [c, c + 1])
-            own = keep[lo:hi]
-            yield ("c", chunk, depth, None, None, int(seen[c]), names[c].tobytes(), vocab[nxt[lo:hi][own]].tobytes(), n[lo:hi][own].astype("<i8").tobytes())
-        grown = np.flatnonzero((n >= least) & (nxt != 0))
-        if depth == DEPTH or not len(grown):
+        for i in range(0, len(code), PACK):
+            s = slice(i, i + PACK)
+            yield depth, names[ctx[s]].tobytes(), vocab[nxt[s]], n[s]
+        if depth == DEPTH:
             return
-        names = np.concatenate([names[ctx[grown]], vocab[nxt[grown]][:, None]], axis=1)
-        seen = n[grown]
-        state = np.full(total, -1)
-        where = np.searchsorted(code[grown], code_at := before[at] * size + flat[at])
-        hit = (where < len(grown)) & (code[grown][np.minimum(where, len(grown) - 1)] == code_at)
-        state[at[hit]] = where[hit]
+        names = np.concatenate([names[ctx], vocab[nxt][:, None]], axis=1)
+        state = np.full(len(flat), -1)
+        state[at] = np.where(use[flat[at]], inverse, -1)
+
+
+def _follow(often):
+    """Of rows (held_out, text), counts (ctx, nxt, n) of each chunk of training texts."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [t for t, h in zip(tx.texts(batch.column(1)), batch.column(0).to_pylist(), strict=True) if not h]
+            for i, j in tx.row_blocks(np.fromiter(map(len, texts), np.int64, len(texts)), CHUNK_BYTES):
+                vocab = _Ids({b"": 0})
+                docs = [np.fromiter(map(vocab.__getitem__, [*tx.words(t), b""]), np.int32) for t in texts[i:j]]
+                names = np.fromiter(map(tx.xxh64_intdigest, vocab), np.uint64, len(vocab))
+                flat = np.concatenate(docs).astype(np.int64)
+                new = np.zeros(len(flat), bool)
+                new[np.cumsum([0, *map(len, docs[:-1])])] = True
+                for depth, ctx, nxt, n in _contexts(flat, new, names, often.value):
+                    ends = pa.py_buffer((np.arange(len(n) + 1) * 8 * depth).astype("<i4").tobytes())
+                    ctx = pa.Array.from_buffers(pa.binary(), len(n), [None, ends, pa.py_buffer(ctx)])
+                    yield pa.RecordBatch.from_arrays([ctx, pa.array(nxt.view(np.int64)), pa.array(n.astype(np.int64))], ["ctx", "nxt", "n"])
+
+    return run
 
 
 def _count(buckets: int):
@@ -107,9 +120,7 @@ def _count(buckets: int):
                 flat = np.concatenate(learn).astype(np.int64) if learn else np.zeros(0, np.int64)
                 counts = np.bincount(flat, minlength=len(vocab))
                 if learn:
-                    new = np.zeros(len(flat), bool)
-                    new[np.cumsum([0, *map(len, learn[:-1])])] = True
-                    rows += _contexts(flat, new, names, counts, chunk)
+                    rows.append(("c", chunk, None, None, None, len(flat), b"", None, None))
                 order = np.argsort(names % np.uint64(buckets), kind="stable")
                 edges = np.searchsorted((names % np.uint64(buckets))[order], np.arange(buckets + 1, dtype=np.uint64))
                 for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
@@ -288,25 +299,23 @@ def _score(model):
     return run
 
 
-def _gather(staged: DataFrame) -> tuple[dict, int]:
+def _gather(staged: DataFrame, rows: DataFrame) -> tuple[dict, int]:
     """Contexts with at least P_MIN of all training symbols, and the number of those."""
-    rows = staged.where("kind = 'c'")
-    total = rows.where("bucket IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    spark = staged.sparkSession
+    total = staged.where("kind = 'c'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def spread(batches):
         for batch in batches:
-            ctx, nxt, n = [], [], []
-            for r in batch.to_pylist():
-                names, counts = np.frombuffer(r["two"], np.int64), np.frombuffer(r["three"], "<i8")
-                ctx += [r["one"]] * (len(names) + 1)
-                nxt += [None, *names.tolist()]
-                n += [r["n"], *counts.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ctx, pa.binary()), pa.array(nxt, pa.int64()), pa.array(n, pa.int64())], ["ctx", "nxt", "n"])
+            for one, three in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(one, np.int64)), pa.array(np.frombuffer(three, "<i4").astype(np.int64))], ["word", "n"])
 
-    flat = rows.where("bucket IS NOT NULL").select("one", "two", "three", "n").mapInArrow(spread, "ctx binary, nxt long, n long")
+    words = staged.where("kind = 'w'").select("one", "three").mapInArrow(spread, "word long, n long").where("n > 0")
+    often = words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= P_MIN * total).select("word").collect()  # at most 1 / P_MIN
+    shared = spark.sparkContext.broadcast(np.array([r.word & tx.MASK64 for r in often], np.uint64))
+    flat = rows.select("held_out", "text").mapInArrow(_follow(shared), "ctx binary, nxt long, n long")
     sums = stage(flat.groupBy("ctx", "nxt").agg(F.sum("n").alias("n")), "contexts")
-    often = sums.where(F.col("nxt").isNull() & (F.col("n") >= P_MIN * total)).select("ctx", F.col("n").alias("m"))
-    found = sums.where("nxt IS NOT NULL").join(often, "ctx").where(F.col("n") >= GAMMA * F.col("m"))
+    held = sums.groupBy("ctx").agg(F.sum("n").alias("m")).where(F.col("m") >= P_MIN * total)
+    found = sums.join(held, "ctx").where(F.col("n") >= GAMMA * F.col("m"))
     contexts: dict = {}
     for r in found.collect():  # at most DEPTH / P_MIN contexts with 1 / GAMMA symbols
         ctx = tuple(np.frombuffer(bytes(r.ctx), np.uint64).tolist())
@@ -320,7 +329,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc
     buckets = 4 * partitions(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     staged = stage(rows.mapInArrow(_count(buckets), SCHEMA), "words")
-    contexts, total = _gather(staged)
+    contexts, total = _gather(staged, rows)
     symbols = {END} | {h for c, (_, after) in contexts.items() for h in (*c, *after)}
     shared = spark.sparkContext.broadcast(np.array(sorted(symbols), np.uint64))
     words = staged.where("kind = 'w'").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")

@@ -180,6 +180,15 @@ def test_suffix_tree(docs, rows, empty):
     assert len(got) == len(rows) and suffixtree.score(empty, F.lit(False)).count() == 0
 
 
+def test_suffix_tree_does_not_depend_on_the_chunks(spark):
+    rng = random.Random(7)
+    text = lambda: " ".join(f"a{(k := rng.randrange(400))} b{k} c{k % 7}" for _ in range(20))
+    df = spark.createDataFrame([(i, text()) for i in range(400)], "doc_id long, text string")
+    held = F.col("doc_id") % 5 == 1
+    whole, parts = (table(suffixtree.score(df.repartition(n, "doc_id"), held)) for n in (1, 60))
+    assert all(math.isclose(whole[i].score, parts[i].score, rel_tol=1e-9) for i in whole)
+
+
 def test_suffix_tree_distributions_sum_to_one():
     rng = random.Random(2)
     names = list(range(1, 7))

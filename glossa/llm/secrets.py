@@ -6,7 +6,8 @@ high entropy). Candidate values are hashed, and the hashes aggregated over the
 corpus by distinct repositories (documents) and owners. A value under at most
 ``MAX_OWNERS`` owners that looks live is owner-specific; one under more owners
 is a widely copied example. Base spans always stay; further candidates become
-spans only where they are owner-specific and look live.
+spans only where they are owner-specific and look live. Base kinds are not held
+to the length and digits that further candidates need to look live.
 
 Counts by hash are built in three aggregations (by hash, owner and repository;
 by hash and owner; by hash), each combined before its shuffle, so a value that
@@ -44,7 +45,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 VENDOR = re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}")
-MIN_VALUE, MIN_ENTROPY, MAX_OWNERS = 8, 3.0, 1
+MIN_VALUE, MIN_ENTROPY, MIN_BASE_ENTROPY, MAX_OWNERS = 8, 3.0, 2.0, 1
 
 
 def entropy(value: str) -> float:
@@ -57,6 +58,11 @@ def looks_live(value: str) -> bool:
     return len(value) >= 16 and sum(map(str.isdigit, value)) >= 2 and any(map(str.isalpha, value)) and entropy(value) >= MIN_ENTROPY
 
 
+def base_looks_live(value: str) -> bool:
+    """For the base kinds, whose pattern or name already tells a credential: no repetition."""
+    return len(value) >= MIN_VALUE and entropy(value) >= MIN_BASE_ENTROPY
+
+
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, value) of the base kinds, leftmost and non-overlapping by kind."""
     out = []
@@ -88,7 +94,7 @@ def _scan(batches):
         spans, digest, prints, counts = [], [], [], []
         for t in tx.texts(batch.column(2)):
             base = base_spans(t)
-            spans.append([{"start": s, "ord": KINDS.index(k), "end": e, "kind": k, "hash": hashlib.sha256(v.encode()).hexdigest(), "live": looks_live(v)} for s, e, k, v in base + further_spans(t, base)])
+            spans.append([{"start": s, "ord": KINDS.index(k), "end": e, "kind": k, "hash": hashlib.sha256(v.encode()).hexdigest(), "live": (base_looks_live if k in BASE else looks_live)(v)} for s, e, k, v in base + further_spans(t, base)])
             digest.append(hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k, _ in base).encode()).hexdigest())
             prints.append(xxhash.xxh64_intdigest(t.encode()) - (1 << 63))
             counts.append(Counter(x[2] for x in base))

@@ -350,6 +350,13 @@ def resolve_links(spark, sf):
     return found.withColumn("t", urls.resolve(F.lit("book/page.xhtml"), F.col("href"))).select("page_id", "seq", "t.kind", "t.file")
 
 
+@query()
+def resolve_all_links(spark, sf):
+    """Every link of the pages as it stands, with what the strict grammar makes of it."""
+    found = markup.links(table(spark, sf, "pages"), "page_id", "html")
+    return found.withColumn("t", urls.resolve(F.lit("book/page.xhtml"), F.col("href"))).select("page_id", "seq", "t.kind", "t.file", "t.anchor")
+
+
 @query("SELECT page_id, regexp_extract(html, '<style>([^<]*)</style>', 1) AS css, '.glo_x ' || regexp_extract(html, '<style>([^<]*)</style>', 1) AS scoped FROM pages")
 def scoped_css(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<style>([^<]*)</style>", 1).alias("css"))

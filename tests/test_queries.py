@@ -13,6 +13,20 @@ def rows(frame):
     return sorted(repr(tuple(map(clean, r))) for r in frame.itertuples(index=False, name=None))
 
 
+def pages(spark, tmp_path, html):
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    return str(tmp_path)
+
+
+def test_all_links_are_resolved(spark, tmp_path):
+    refs = ["http://x/y", "#top", "q.html#a%20b", "a?b", "/root", "../../up", "a%zz", ""]
+    got = QUERIES["resolve_all_links"](spark, pages(spark, tmp_path, ["".join(f'<a href="{r}">' for r in refs)])).orderBy("seq").collect()
+    assert [(r.kind, r.file, r.anchor) for r in got] == [
+        ("external", None, None), ("internal", "book/page.xhtml", "top"), ("internal", "book/q.html", "a b"), ("error", None, None),
+        ("error", None, None), ("error", None, None), ("error", None, None), ("internal", "book/page.xhtml", None),
+    ]
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, duck, name):
     got = QUERIES[name](spark, sf).toPandas()

@@ -317,7 +317,7 @@ def manifest(spark, sf):
 @query(r"""SELECT page_id, strlen(regexp_replace('[Chapter ' || lpad((page_id + 1)::VARCHAR, 6, '0') || '] ' || regexp_extract(html, '<title>([^<]*)</title>', 1), '\p{Cc}', '', 'g'))::BIGINT AS key_bytes FROM pages
 WHERE strlen(regexp_extract(html, '<title>([^<]*)</title>', 1)) < 200""")
 def chapter_keys(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title")).where("octet_length(title) < 200")
+    pages = table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
     prefix = words.label(F.lit("en"), "chapter", F.col("page_id") + 1)
     return pages.select("page_id", F.octet_length(readers.chapter_key(prefix, "title")).cast("long").alias("key_bytes"))
 

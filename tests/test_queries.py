@@ -27,6 +27,11 @@ def test_all_links_are_resolved(spark, tmp_path):
     ]
 
 
+def test_long_chapter_titles_are_cut(spark, tmp_path):
+    got = QUERIES["chapter_keys"](spark, pages(spark, tmp_path, [f"<title>{t}</title>" for t in ("short", "é" * 300, "x" * 199)])).collect()
+    assert {r.page_id: r.key_bytes for r in got} == {0: 22, 1: 249, 2: 216}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, duck, name):
     got = QUERIES[name](spark, sf).toPandas()

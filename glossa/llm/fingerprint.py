@@ -31,7 +31,6 @@ from glossa.llm import text as tx
 from glossa.runtime import partitions
 
 SIZE, SEED, WIDTH = 64, 20240607, 5
-BANDS = 16
 #: Runs of keys for each shuffle partition.
 RUNS = 3
 
@@ -127,12 +126,19 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     return docs.select(key, F.col(text).alias("text")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fingerprint string")
 
 
+def band_rows(threshold: float) -> int:
+    """The most rows a band may have for a pair at the threshold to share no band with 3e-4 at most (else one)."""
+    return max(r for r in range(1, SIZE + 1) if SIZE % r == 0 and (r == 1 or (1 - threshold**r) ** (SIZE // r) <= 3e-4))
+
+
 def matches(queries: DataFrame, docs: DataFrame, threshold: float = 0.8, width: int = WIDTH, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(query_id, doc_id, jaccard) of a stated query set against all rows.
 
     Rows meet where a signature band is equal; each meeting pair is counted
-    once and its similarity taken on the full shingle sets.
+    once and its similarity taken on the full shingle sets. The bands follow
+    from the threshold (``band_rows``).
     """
+    bands_of = SIZE // band_rows(threshold)
 
     def sets(batches):
         a, b = tx.permutations(SIZE, SEED)
@@ -140,7 +146,7 @@ def matches(queries: DataFrame, docs: DataFrame, threshold: float = 0.8, width:
             flat, at = tx.shingles([tx.words(t) for t in tx.texts(batch.column(1))], width)
             sig = tx.minhash(flat, at, a, b)
             full = np.diff(at) > 0
-            bands = [[hashlib.blake2b(bytes([i]) + part.tobytes(), digest_size=8).digest() for i, part in enumerate(np.split(row, BANDS))] if ok else [] for row, ok in zip(sig, full, strict=True)]
+            bands = [[hashlib.blake2b(bytes([i]) + part.tobytes(), digest_size=8).digest() for i, part in enumerate(np.split(row, bands_of))] if ok else [] for row, ok in zip(sig, full, strict=True)]
             held = [np.unique(flat[i:j]).view(np.int64) for i, j in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands, pa.list_(pa.binary())), pa.array(held, pa.list_(pa.int64()))], [key, "bands", "members"])
 

@@ -341,6 +341,14 @@ def test_fingerprint_estimates_and_matches(docs, rows):
     assert abs((a == b).mean() - 266 / 326) < 0.2
 
 
+def test_fingerprint_bands_follow_the_threshold(spark):
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(100))) for i in range(0, 6000, 100)]
+    rows += [(i + 1, " ".join([*t.split()[:68], *(f"v{i}_{k}" for k in range(32))])) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.query_id, r.doc_id) for r in fingerprint.matches(df.where("doc_id % 100 = 0"), df, 0.45).collect()}
+    assert got == {(i, i + 1) for i in range(0, 6000, 100)}
+
+
 @pytest.fixture(scope="module")
 def codec():
     return registry.codec()

@@ -223,9 +223,10 @@ def edit_word(base: bytes, program: bytes, cap: int = 4096) -> bytes:
 
     1 to 4 choose insertion (1, 2) or deletion (3, 4) towards the right (1, 4)
     or left (2, 3); 11 to 19 move the cursor left by 1 to 9; 20 and above are
-    bytes to insert or delete; 0 ends.
+    bytes to insert or delete; 0 ends. A program begins as if it had chosen
+    insertion towards the left, at the word's end.
     """
-    word, at, insert, side = bytearray(base), 0, None, None
+    word, at, insert, side = bytearray(base), len(base), True, "left"
     for i, b in enumerate(program):
         if b == 0:
             if any(program[i:]):
@@ -237,7 +238,7 @@ def edit_word(base: bytes, program: bytes, cap: int = 4096) -> bytes:
                 at = len(word) if new == "left" else 0
             insert, side = b <= 2, new
         elif 11 <= b <= 19:
-            if side == "right" or side is None:
+            if side == "right":
                 at = len(word)
             at -= b - 10
             if at < 0:
@@ -245,8 +246,6 @@ def edit_word(base: bytes, program: bytes, cap: int = 4096) -> bytes:
             side = "hold"
         elif b < 20:
             raise BookError("UNSUPPORTED", f"edit code {b}")
-        elif insert is None:
-            raise BookError("MALFORMED", "byte before a mode")
         elif insert:
             word.insert(at, b)
             at += side == "right"

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 
 def fold(word: str) -> str:
-    """Decomposed, without combining marks and anything but letters and digits, in lower case."""
-    return "".join(c for c in unicodedata.normalize("NFD", word) if c.isalnum() and not unicodedata.combining(c)).lower()
+    """Decomposed, without combining marks and anything but letters and digits, each character in lower case on its own."""
+    return "".join(c.lower() for c in unicodedata.normalize("NFD", word) if c.isalnum() and not unicodedata.combining(c))
 
 
 @F.pandas_udf(T.StringType())

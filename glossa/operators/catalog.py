@@ -15,7 +15,11 @@ def payload_ranges(items: DataFrame, payload: str = "payload", order: str = "id"
     Equal payloads share a range; only digests and sizes are shuffled.
     """
     data = F.col(payload).cast("binary")
-    rows = items.select(F.sha2(data, 256).alias("sha"), F.octet_length(data).cast("long").alias("size"), order)
+    return digest_ranges(items.select(F.sha2(data, 256).alias("sha"), F.octet_length(data).cast("long").alias("size"), order), order)
+
+
+def digest_ranges(rows: DataFrame, order: str = "id") -> DataFrame:
+    """``payload_ranges`` of rows (sha, size, id) whose digests are at hand."""
     first = rows.groupBy("sha").agg(F.min(order).alias("first"), F.max("size").alias("size"))
     return prefix_sum(first, [F.col("first")], "size").select("sha", "offset", "size")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import readers, urls, words
 from glossa.operators import catalog, intervals, lookup, markup, multiset, refs
-from glossa.runtime import table
+from glossa.runtime import stage, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -46,20 +46,29 @@ def _words(col: str) -> F.Column:
     return F.split(F.regexp_replace(F.col(col), r"^[ \t\n\r]+|[ \t\n\r]+$", ""), SPLIT)
 
 
+#: The first two words by one anchored pattern: a text of any length is read as far as its second word.
+HEAD = r"^[ \t\n\r]*+([^ \t\n\r]++)(?:[ \t\n\r]++([^ \t\n\r]*+))?"
+
+
 def items(spark: SparkSession, sf: str) -> DataFrame:
     """(id, word, alias, payload) of the documents whose first word can be a headword."""
-    ws = _words("text")
-    out = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.try_element_at(ws, F.lit(1)).alias("word"), F.try_element_at(ws, F.lit(2)).alias("alias"), F.col("text").alias("payload"))
+    first = [F.regexp_extract("text", HEAD, n).alias(c) for n, c in ((1, "word"), (2, "alias"))]
+    out = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), *first, F.col("text").alias("payload"))
     return out.where(words.headword_ok(F.col("word")))
 
 
+def heads(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, word, alias) of ``items``, staged: the index is built from words alone, and drawn once from the texts."""
+    return stage(items(spark, sf).select("id", "word", "alias"), "heads")
+
+
 def aliases(rows: DataFrame) -> DataFrame:
     return rows.where(words.key_ok(F.col("alias"))).select(F.col("alias").alias("word"), F.col("id").alias("target_id"))
 
 
 def indexed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The entries in dictionary order and the table of keys."""
-    rows = items(spark, sf)
+    rows = heads(spark, sf)
     entries = catalog.catalog(rows)
     return entries, catalog.keys(entries, catalog.synonyms(entries, aliases(rows)))
 
@@ -83,7 +92,7 @@ def payload_ranges(spark, sf):
 
 @query(f"WITH {SQL_ITEMS} SELECT ordinal::BIGINT AS ordinal, word, id AS doc_id FROM entries")
 def catalog_ordinals(spark, sf):
-    return catalog.catalog(items(spark, sf)).withColumnRenamed("id", "doc_id")
+    return catalog.catalog(heads(spark, sf)).withColumnRenamed("id", "doc_id")
 
 
 @query(f"""WITH {SQL_ITEMS}, d AS (SELECT sha256(text) AS sha, min(id) AS f, max(strlen(text))::BIGINT AS size FROM heads GROUP BY 1),
@@ -91,15 +100,15 @@ r AS (SELECT sha, size, (coalesce(sum(size) OVER (ORDER BY f ROWS BETWEEN UNBOUN
 SELECT e.ordinal::BIGINT AS ordinal, lower(hex(encode(e.word))) || '00' || lpad(lower(to_hex(r.off)), 8, '0') || lpad(lower(to_hex(r.size)), 8, '0') AS record
 FROM entries e JOIN heads h USING (id) JOIN r ON r.sha = sha256(h.text)""")
 def idx_bytes(spark, sf):
-    rows = items(spark, sf)
-    ranges = catalog.payload_ranges(rows.select("id", "payload"))
-    placed = catalog.catalog(rows).join(rows.select("id", F.sha2(F.col("payload").cast("binary"), 256).alias("sha")), "id").join(ranges, "sha")
+    data = F.col("payload").cast("binary")
+    rows = stage(items(spark, sf).select("id", "word", F.sha2(data, 256).alias("sha"), F.octet_length(data).cast("long").alias("size")), "digests")
+    placed = catalog.catalog(rows).join(rows.select("id", "sha"), "id").join(catalog.digest_ranges(rows), "sha")
     return catalog.index_records(placed).select("ordinal", words.hex_lower(F.col("record")).alias("record"))
 
 
 @query(f"WITH {SQL_ITEMS} SELECT word, target::BIGINT AS target FROM syn")
 def synonyms(spark, sf):
-    rows = items(spark, sf)
+    rows = heads(spark, sf)
     return catalog.synonyms(catalog.catalog(rows), aliases(rows))
 
 
@@ -112,7 +121,7 @@ def tiling_check(spark, sf):
 
 @query("SELECT 0::BIGINT AS n_bad")
 def sorted_check(spark, sf):
-    rows = catalog.catalog(items(spark, sf)).withColumn("book", F.lit(1))
+    rows = catalog.catalog(heads(spark, sf)).withColumn("book", F.lit(1))
     return intervals.unsorted(rows, ["book"], "ordinal", words.order_key(F.col("word"))).select("n_bad")
 
 

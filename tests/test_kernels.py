@@ -149,3 +149,14 @@ def test_dictionary_format_is_checked():
     for wrong in ((ifo, idx, b"", 6), (ifo, idx[:-1], b"", 5), (ifo, sd.index_record("B", 0, 2) + sd.index_record("a", 2, 3), b"", 5), (ifo, idx, sd.synonym_record("x", 9), 5)):
         with pytest.raises(sd.FormatError):
             sd.parse(*wrong)
+
+
+@pytest.mark.parametrize(("base", "program", "out"), [(b"run", b"s", b"runs"), (b"run", b"gnin", b"running"), (b"walk", b"\x0cx", b"waxlk"), (b"walks", b"\x03s", b"walk"), (b"lied", b"\x04l\x01", b"ied")])
+def test_edit_programs_begin_with_insertion_at_the_end(base, program, out):
+    assert bk.edit_word(base, program) == out
+
+
+def test_fold_lowers_each_character_alone():
+    from glossa.functions.readers import fold
+
+    assert fold("ΟΔΟΣ") == fold("οδοσ") == "οδοσ" and fold("Ärger-nis 2") == "argernis2"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions.words import ascii_lower, order_key
 from glossa.operators.intervals import ordinals, prefix_sum
+from glossa.operators.lookup import books
 
 
 def payload_ranges(items: DataFrame, payload: str = "payload", order: str = "id") -> DataFrame:
@@ -25,13 +26,23 @@ def digest_ranges(rows: DataFrame, order: str = "id") -> DataFrame:
 
 
 def catalog(items: DataFrame) -> DataFrame:
-    """(ordinal, word, id) of items (id, word) in dictionary order; ties by id."""
-    return ordinals(items.select("id", "word"), [*order_key(F.col("word")), F.col("id")]).select("ordinal", "word", "id")
+    """(ordinal, word, id) of items (id, word) in dictionary order; ties by id. With a ``book_id``, each book counts from 0.
+
+    Books are laid end to end in one global order, and each book's first
+    position is taken off, so a book of any size costs no single task.
+    """
+    of = books(items)
+    rows = ordinals(items.select(*of, "id", "word"), [*map(F.col, of), *order_key(F.col("word")), F.col("id")])
+    if of:
+        first = rows.groupBy(*of).agg(F.min("ordinal").alias("__first"))
+        rows = rows.join(first, of).withColumn("ordinal", F.col("ordinal") - F.col("__first"))
+    return rows.select(*of, "ordinal", "word", "id")
 
 
 def synonyms(entries: DataFrame, aliases: DataFrame) -> DataFrame:
     """(word, target): aliases (word, target_id) with the ordinals of their targets, a multiset."""
-    return aliases.join(entries.select(F.col("id").alias("target_id"), F.col("ordinal").alias("target")), "target_id").select("word", "target")
+    of = [c for c in books(entries) if c in aliases.columns]
+    return aliases.join(entries.select(*of, F.col("id").alias("target_id"), F.col("ordinal").alias("target")), [*of, "target_id"]).select(*of, "word", "target")
 
 
 def dangling(entries: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -65,8 +76,9 @@ def info(bookname: str, entries: int, synonyms: int, index_bytes: int, bits: int
 
 def keys(entries: DataFrame, rows: DataFrame) -> DataFrame:
     """(key, ordinal, kind, pos) of all that can be looked up: headwords (0) and synonyms (1)."""
-    a = entries.select(F.col("word").alias("key"), "ordinal", F.lit(0).alias("kind"), F.col("ordinal").alias("pos"))
-    b = rows.select(F.col("word").alias("key"), F.col("target").alias("ordinal"), F.lit(1).alias("kind"), F.col("pos") if "pos" in rows.columns else F.col("target").alias("pos"))
+    of = books(entries)
+    a = entries.select(*of, F.col("word").alias("key"), "ordinal", F.lit(0).alias("kind"), F.col("ordinal").alias("pos"))
+    b = rows.select(*of, F.col("word").alias("key"), F.col("target").alias("ordinal"), F.lit(1).alias("kind"), F.col("pos") if "pos" in rows.columns else F.col("target").alias("pos"))
     return a.unionByName(b)
 
 

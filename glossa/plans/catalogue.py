@@ -50,10 +50,11 @@ def _words(col: str) -> F.Column:
 HEAD = r"^[ \t\n\r]*+([^ \t\n\r]++)(?:[ \t\n\r]++([^ \t\n\r]*+))?"
 
 
-def items(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, word, alias, payload) of the documents whose first word can be a headword."""
+def items(spark: SparkSession, sf: str, docs: DataFrame | None = None, *more: F.Column) -> DataFrame:
+    """(id, word, alias, payload, more...) of the documents whose first word can be a headword."""
     first = [F.regexp_extract("text", HEAD, n).alias(c) for n, c in ((1, "word"), (2, "alias"))]
-    out = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), *first, F.col("text").alias("payload"))
+    docs = table(spark, sf, "documents") if docs is None else docs
+    out = docs.select(F.col("doc_id").alias("id"), *first, F.col("text").alias("payload"), *more)
     return out.where(words.headword_ok(F.col("word")))
 
 
@@ -63,7 +64,7 @@ def heads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def aliases(rows: DataFrame) -> DataFrame:
-    return rows.where(words.key_ok(F.col("alias"))).select(F.col("alias").alias("word"), F.col("id").alias("target_id"))
+    return rows.where(words.key_ok(F.col("alias"))).select(*lookup.books(rows), F.col("alias").alias("word"), F.col("id").alias("target_id"))
 
 
 def indexed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -173,26 +174,107 @@ def mobile_search(spark, sf):
     return lookup.goldendict_mobile(asked(spark, sf), indexed(spark, sf)[1])
 
 
-@query(f"""WITH {SQL_ITEMS}, c AS (SELECT query, unnest([query, lower(query), upper(query[1]) || lower(query[2:]), upper(query), strip_accents(query)]) AS form, unnest([0, 1, 2, 3, 6]) AS n FROM asked),
-h AS (SELECT c.query, n, kind, ordinal FROM c JOIN keys ON lower(key) = lower(form)),
-r AS (SELECT query, ordinal, row_number() OVER (PARTITION BY query ORDER BY n, kind, ordinal) AS k FROM h)
-SELECT query, ordinal::BIGINT AS ordinal FROM r WHERE k = 1""")
+#: The upper case of a word in SQL: that of the sharp s is two letters.
+UPPER = "upper(replace({0}, 'ß', 'SS'))"
+KO = """SELECT query, ordinal, min(p) AS p FROM (
+  SELECT query, ordinal, 0 AS p FROM asked JOIN keys ON key = query UNION ALL SELECT query, ordinal, 1 FROM asked JOIN keys ON key = lower(query)) GROUP BY 1, 2"""
+READEST = f"""re_c AS (SELECT query, unnest([query, lower(query), {UPPER.format('query[1]')} || lower(query[2:]), {UPPER.format('query')}, nfc_normalize(query), strip_accents(query)]) AS form, unnest([0, 1, 2, 3, 4, 6]) AS n FROM asked),
+re_h AS (SELECT re_c.query, n, kind, ordinal FROM re_c JOIN keys ON lower(key) = lower(form)),
+re AS (SELECT query, ordinal FROM (SELECT query, ordinal, row_number() OVER (PARTITION BY query ORDER BY n, kind, ordinal) AS k FROM re_h) WHERE k = 1)"""
+
+
+@query(f"WITH {SQL_ITEMS}, {READEST} SELECT query, ordinal::BIGINT AS ordinal FROM re")
 def readest_search(spark, sf):
     return lookup.readest(asked(spark, sf), indexed(spark, sf)[1])
 
 
-@query()
+#: Groups of terms without Han, Kana or Cyrillic, and blocks named by their first term.
+GROUP = r"CASE WHEN regexp_full_match(lower(trim({0}[1:2])), '\p{{L}}+') THEN rpad(lower(trim({0}[1:2])), 2, 'a') ELSE '11' END"
+KOBO = f"""ko_t AS (SELECT k.ordinal, k.key, e.word AS main, {GROUP.format('k.key')} AS grp, row_number() OVER (PARTITION BY k.ordinal, {GROUP.format('k.key')} ORDER BY k.kind, encode(k.key)) AS n FROM keys k JOIN entries e USING (ordinal)),
+ko_b AS (SELECT ordinal, main, grp, min(key) FILTER (n = 1) AS first, coalesce(list(lower(trim(key))) FILTER (n > 1), []) AS variants FROM ko_t GROUP BY 1, 2, 3),
+kobo AS (SELECT c.query, row_number() OVER (PARTITION BY c.query ORDER BY c.ordinal) AS rank, c.ordinal, CASE WHEN first = main THEN first ELSE main || ', ' || first END AS headword
+  FROM (SELECT DISTINCT query, ordinal FROM asked JOIN keys ON {ASCII.format('key')} = {ASCII.format('query')}) c JOIN ko_b b ON b.ordinal = c.ordinal AND b.grp = {GROUP.format('c.query')}
+  WHERE regexp_extract(first, '(?:.*, )?(.*)', 1) = c.query OR list_contains(variants, lower(trim(c.query))))"""
+
+
+@query(f"WITH {SQL_ITEMS}, {KOBO} SELECT query, rank, ordinal::BIGINT AS ordinal, headword FROM kobo")
 def kobo_search(spark, sf):
     entries, index = indexed(spark, sf)
     return lookup.kobo(asked(spark, sf), index, entries)
 
 
-@query()
+@query(f"""WITH {SQL_ITEMS}, {KOBO}, {READEST}, ko AS ({KO}),
+ng_h AS (SELECT DISTINCT query, k.ordinal, e.word FROM asked JOIN keys k ON {FOLD.format('key')} = {FOLD.format('query')} JOIN entries e ON e.ordinal = k.ordinal),
+ng AS (SELECT query, ordinal, row_number() OVER (PARTITION BY query ORDER BY lower(word) <> lower(query), encode(lower(word)), ordinal) AS rank FROM ng_h),
+x AS (SELECT DISTINCT query, ordinal FROM asked JOIN keys ON key = query),
+a AS (SELECT DISTINCT query, ordinal FROM asked JOIN keys ON {ASCII.format('key')} = {ASCII.format('query')} WHERE query NOT IN (SELECT query FROM x))
+SELECT 'koreader' AS app, query, row_number() OVER (PARTITION BY query ORDER BY p, ordinal) AS rank, ordinal::BIGINT AS ordinal FROM ko
+UNION ALL SELECT 'goldendict-ng', query, rank, ordinal FROM ng WHERE rank <= 10
+UNION ALL SELECT 'goldendict-mobile', query, row_number() OVER (PARTITION BY query ORDER BY ordinal), ordinal FROM (SELECT * FROM x UNION ALL SELECT * FROM a)
+UNION ALL SELECT 'readest', query, 1, ordinal FROM re UNION ALL SELECT 'kobo', query, rank, ordinal FROM kobo""")
 def search_all(spark, sf):
     entries, index = indexed(spark, sf)
     return lookup.search(asked(spark, sf), index, entries)
 
 
+#: The same views with the documents' source as the book that each entry belongs to.
+SQL_BOOKS = rf"""heads AS (SELECT doc_id AS id, source AS book_id, ws[1] AS word, ws[2] AS alias FROM (SELECT doc_id, source, regexp_split_to_array(trim(text, E' \t\n\r'), '[ \t\n\r]+') AS ws FROM documents)
+  WHERE source IS NOT NULL AND strlen(ws[1]) BETWEEN 1 AND 255 AND NOT regexp_matches(ws[1], '\p{{Cc}}') AND NOT starts_with(ws[1], '__glossa_')),
+entries AS (SELECT id, book_id, word, row_number() OVER (PARTITION BY book_id ORDER BY encode({ASCII.format('word')}), encode(word), id) - 1 AS ordinal FROM heads),
+syn AS (SELECT e.book_id, h.alias AS word, e.ordinal AS target FROM heads h JOIN entries e USING (id) WHERE strlen(h.alias) BETWEEN 1 AND 255 AND NOT regexp_matches(h.alias, '\p{{Cc}}')),
+keys AS (SELECT book_id, word AS key, ordinal, 0 AS kind FROM entries UNION ALL SELECT book_id, word, target, 1 FROM syn),
+asked AS (SELECT DISTINCT w AS query FROM (SELECT unnest(regexp_split_to_array(trim(text, E' \t\n\r'), '[ \t\n\r]+')) AS w FROM benchmark) WHERE w <> '')"""
+
+
+def shelf(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The entries and keys of the books that the documents' sources are."""
+    docs = table(spark, sf, "documents").where("source IS NOT NULL")
+    rows = items(spark, sf, docs, F.col("source").alias("book_id")).drop("payload")
+    rows = stage(rows, "shelf")
+    entries = catalog.catalog(rows)
+    return entries, catalog.keys(entries, catalog.synonyms(entries, aliases(rows)))
+
+
+@query(f"WITH {SQL_BOOKS} SELECT book_id, ordinal::BIGINT AS ordinal, word, id AS doc_id FROM entries")
+def book_ordinals(spark, sf):
+    return shelf(spark, sf)[0].withColumnRenamed("id", "doc_id")
+
+
+@query(f"WITH {SQL_BOOKS} SELECT DISTINCT book_id, query, ordinal::BIGINT AS ordinal FROM asked JOIN keys ON {FOLD.format('key')} = {FOLD.format('query')}")
+def book_lookup_folded(spark, sf):
+    return lookup.folded(asked(spark, sf), shelf(spark, sf)[1])
+
+
+@query(f"""WITH {SQL_BOOKS}, h AS (SELECT book_id, query, kind, ordinal FROM asked JOIN keys ON lower(key) = lower(query)),
+m AS (SELECT book_id, query, min(kind) AS kind FROM h GROUP BY 1, 2) SELECT book_id, query, min(h.ordinal)::BIGINT AS ordinal FROM h JOIN m USING (book_id, query, kind) GROUP BY 1, 2""")
+def book_lookup_lower_first(spark, sf):
+    return lookup.lower_first(asked(spark, sf), shelf(spark, sf)[1])
+
+
+@query(f"""WITH {SQL_BOOKS}, f AS (SELECT query, query AS form, 0 AS n FROM asked UNION ALL SELECT query, lower(query), 2 FROM asked),
+h AS (SELECT book_id, f.query, n, ordinal FROM f JOIN keys ON (n = 0 AND key = form) OR (n = 2 AND lower(key) = form)), m AS (SELECT book_id, query, min(n) AS n FROM h GROUP BY 1, 2)
+SELECT DISTINCT book_id, query, ordinal::BIGINT AS ordinal FROM h JOIN m USING (book_id, query, n)""")
+def book_viewer_lookup(spark, sf):
+    return lookup.viewer(asked(spark, sf), shelf(spark, sf)[1])
+
+
+@query(f"""WITH {SQL_BOOKS}, ko AS (SELECT book_id, query, ordinal, min(p) AS p FROM (
+  SELECT book_id, query, ordinal, 0 AS p FROM asked JOIN keys ON key = query UNION ALL SELECT book_id, query, ordinal, 1 FROM asked JOIN keys ON key = lower(query)) GROUP BY 1, 2, 3),
+ng_h AS (SELECT DISTINCT k.book_id, query, k.ordinal, e.word FROM asked JOIN keys k ON {FOLD.format('key')} = {FOLD.format('query')} JOIN entries e ON e.ordinal = k.ordinal AND e.book_id = k.book_id),
+ng AS (SELECT book_id, query, ordinal, row_number() OVER (PARTITION BY book_id, query ORDER BY lower(word) <> lower(query), encode(lower(word)), ordinal) AS rank FROM ng_h),
+x AS (SELECT DISTINCT book_id, query, ordinal FROM asked JOIN keys ON key = query),
+a AS (SELECT DISTINCT book_id, query, ordinal FROM asked JOIN keys ON {ASCII.format('key')} = {ASCII.format('query')} WHERE (book_id, query) NOT IN (SELECT (book_id, query) FROM x)),
+{READEST.replace('SELECT query, ordinal', 'SELECT book_id, query, ordinal').replace('SELECT re_c.query', 'SELECT book_id, re_c.query').replace('PARTITION BY query', 'PARTITION BY book_id, query')},
+{KOBO.replace('k.ordinal, k.key', 'k.book_id, k.ordinal, k.key').replace('PARTITION BY k.ordinal', 'PARTITION BY k.book_id, k.ordinal').replace('USING (ordinal)', 'USING (book_id, ordinal)').replace('SELECT ordinal, main', 'SELECT book_id, ordinal, main').replace('GROUP BY 1, 2, 3', 'GROUP BY 1, 2, 3, 4').replace('SELECT c.query', 'SELECT c.book_id, c.query').replace('PARTITION BY c.query', 'PARTITION BY c.book_id, c.query').replace('DISTINCT query', 'DISTINCT book_id, query').replace('b.ordinal = c.ordinal', 'b.book_id = c.book_id AND b.ordinal = c.ordinal')}
+SELECT 'koreader' AS app, book_id, query, row_number() OVER (PARTITION BY book_id, query ORDER BY p, ordinal) AS rank, ordinal::BIGINT AS ordinal FROM ko
+UNION ALL SELECT 'goldendict-ng', book_id, query, rank, ordinal FROM ng WHERE rank <= 10
+UNION ALL SELECT 'goldendict-mobile', book_id, query, row_number() OVER (PARTITION BY book_id, query ORDER BY ordinal), ordinal FROM (SELECT * FROM x UNION ALL SELECT * FROM a)
+UNION ALL SELECT 'readest', book_id, query, 1, ordinal FROM re UNION ALL SELECT 'kobo', book_id, query, rank, ordinal FROM kobo""")
+def book_search_all(spark, sf):
+    entries, index = shelf(spark, sf)
+    return lookup.search(asked(spark, sf), index, entries)
+
+
 @query(f"""WITH {SQL_ITEMS}, p AS (SELECT DISTINCT query[1:2] AS prefix FROM asked), w AS (SELECT DISTINCT key AS word FROM keys),
 r AS (SELECT prefix, word, row_number() OVER (PARTITION BY prefix ORDER BY encode({ASCII.format('word')}), encode(word)) AS rank FROM p JOIN w ON starts_with({ASCII.format('word')}, {ASCII.format('prefix')}))
 SELECT prefix, rank, word FROM r WHERE rank <= 12""")

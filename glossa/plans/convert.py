@@ -80,12 +80,12 @@ def open_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def look_up(spark: SparkSession, folder: str, words: list[str], app: str = "exact") -> DataFrame:
-    """Hits of the words by the rules of a reader, or byte for byte."""
+    """Hits of the words in each book, by the rules of a reader, or byte for byte."""
     entries, keys = open_index(spark, folder)
     asked = spark.createDataFrame([(w,) for w in words], "query string")
     if app == "exact":
-        return lookup.exact(asked, keys).join(entries, "ordinal").select("query", "ordinal", "word")
-    return lookup.search(asked, keys, entries).where(F.col("app") == app).join(entries.select("ordinal", "word"), "ordinal")
+        return lookup.exact(asked, keys).join(entries, ["book_id", "ordinal"]).select("book_id", "query", "ordinal", "word")
+    return lookup.search(asked, keys, entries).where(F.col("app") == app).join(entries.select("book_id", "ordinal", "word"), ["book_id", "ordinal"])
 
 
 def main(args: list[str] | None = None) -> int:

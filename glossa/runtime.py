@@ -12,8 +12,12 @@ LOCAL_SHARED = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a cluster has to name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return (named or LOCAL_SHARED).rstrip("/")
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -14,10 +14,10 @@ from glossa.sources import books, packages, stardict
 from glossa.streaming import exact_stream
 from tests import book_writer as w
 
-TEXT = "<p>before</p><b>run</b> to move<b>café</b> a place<p>after the end, and some more text to decode</p>".encode()
-RUN = (TEXT.index(b"<b>run"), len(b"<b>run</b> to move"))
-CAFE = (TEXT.index("<b>café".encode()), len("<b>café</b> a place".encode()))
-ENTRIES = [("run", *RUN), ("race", RUN[0], 0), ("café", *CAFE)]
+REED_TEXT, FORET_TEXT = "<dt>reed</dt> stands in water".encode(), "<dt>forêt</dt> stands in leaves".encode()
+TEXT = b"<h2>Wet and dry</h2>" + REED_TEXT + FORET_TEXT + b"<h2>Here the words are over, and a colophon of some length is decoded</h2>"
+REED, FORET = ((TEXT.index(t), len(t)) for t in (REED_TEXT, FORET_TEXT))
+ENTRIES = [("reed", *REED), ("rush", REED[0], 0), ("forêt", *FORET)]
 PNG = b"\x89PNG\r\n\x1a\n" + b"x" * 20
 
 
@@ -32,10 +32,10 @@ def test_compiled_book(spark, compression):
     assert (head.title, head.compression, head.text_bytes, head.refused) == ("A Book", compression, len(TEXT), None)
     assert bytes(books.scan(files, "texts").first().text) == TEXT
     entries = books.scan(files, "entries")
-    assert [(r.headword, r.start, r.end) for r in entries.orderBy("id").collect()] == [("run", RUN[0], sum(RUN)), ("race", RUN[0], sum(RUN)), ("café", CAFE[0], sum(CAFE))]
-    assert [(r.id, r.word, r.group_name) for r in books.scan(files, "aliases").orderBy("id").collect()] == [(0, "runs", "plural"), (1, "races", "plural"), (2, "cafés", "plural")]
+    assert [(r.headword, r.start, r.end) for r in entries.orderBy("id").collect()] == [("reed", REED[0], sum(REED)), ("rush", REED[0], sum(REED)), ("forêt", FORET[0], sum(FORET))]
+    assert [(r.id, r.word, r.group_name) for r in books.scan(files, "aliases").orderBy("id").collect()] == [(0, "reeds", "plural"), (1, "rushs", "plural"), (2, "forêts", "plural")]
     full = books.with_supplements(entries, books.scan(files, "texts")).where("kind = 'supplement'").orderBy("id").collect()
-    assert [(r.id, r.headword, r.start, r.end) for r in full] == [(3, "supplement 1", 0, RUN[0]), (4, "supplement 2", sum(CAFE), len(TEXT))]
+    assert [(r.id, r.headword, r.start, r.end) for r in full] == [(3, "supplement 1", 0, REED[0]), (4, "supplement 2", sum(FORET), len(TEXT))]
     assert [(r.recindex, r.file, r.media_type) for r in books.scan(files, "resources").collect()] == [(1, "image-000001.png", "image/png")]
     roles = [r.role for r in books.scan(files, "records").orderBy("record").collect()]
     assert roles[:2] == ["header", "text"] and "orth_index" in roles and "infl_index" in roles and roles[-1] == "image"
@@ -74,18 +74,23 @@ def test_tags():
 def test_package_tables(spark):
     package = packages.files(frame(spark, w.package()))
     t = packages.book(package)
-    assert [(r.id, r.value, r.entry_id) for r in t["orth"].orderBy("id").collect()] == [(0, "run", 0), (1, "run", 1), (2, "café", 2)]
-    assert [(r.value, r.orth_id, r.name) for r in t["form"].collect()] == [("runs", 0, "plural")]
-    assert {(r.name, r.entry_id) for r in t["anchor"].collect()} == {("first", 0), ("third", 2)}
-    page = t["page"].first()
-    raw = w.PAGE_A.encode()
-    assert page.title == "One & all" and raw[page.tag_start : page.tag_end] == b"<body>" and raw[page.body_end :].startswith(b"</body>")
-    spans = [raw[r.start : r.end] for r in t["definition"].orderBy("id").collect()]
-    assert all(s.startswith(b"<idx:entry>") and s.endswith(b"</idx:entry>") for s in spans)
-    assert [(r.file, r.pos, r.title) for r in packages.spine(package).collect()] == [("OEBPS/a.xhtml", 0, "Book")]
+    words = {r.id: r.value for r in t["orth"].collect()}
+    assert sorted(words.values()) == ["forêt", "moor", "moss"]
+    assert [(r.value, words[r.orth_id], r.name) for r in t["form"].collect()] == [("mosses", "moss", "several")]
+    assert {r.name for r in t["anchor"].collect()} >= {"m-2", "f-2"}
+    pages = {r.title: r for r in t["page"].collect()}
+    assert set(pages) == {"Moss < moor", "F"}
+    for title, source in (("Moss < moor", w.M_PAGE), ("F", w.F_PAGE)):
+        raw, page = source.encode(), pages[title]
+        assert raw[page.tag_start : page.tag_end].startswith(b"<body") and raw[page.body_end :].startswith(b"</body>")
+    ends = {(raw[r.start : r.start + 11], raw[r.end - 12 : r.end]) for r in t["definition"].collect() for raw in [w.FILES[r.file].encode()]}
+    assert t["definition"].count() == 3 and ends == {(b"<idx:entry>", b"</idx:entry>")}
+    assert [(r.file, r.pos) for r in packages.spine(package).orderBy("pos").collect()] == [("wet/words/m.xhtml", 0), ("wet/words/f.xhtml", 1)]
+    assert {r.title for r in packages.spine(package).collect()} == {"Wet Ground"}
     assert packages.reference_failures(package, t).count() == 0
-    broken = packages.files(frame(spark, w.package(image__png=None)))
-    assert [(r.check, r.code) for r in packages.reference_failures(broken, packages.book(broken)).collect()] == [("file", "INCOMPLETE")]
+    for gone, code in (({"wet/look/moss.png": None}, "INCOMPLETE"), ({"wet/words/f.xhtml": w.F_PAGE.replace('id="f-1"', 'id="f-9"')}, "INCOMPLETE")):
+        broken = packages.files(frame(spark, w.package(gone)))
+        assert {r.code for r in packages.reference_failures(broken, packages.book(broken)).collect()} == {code}
 
 
 @pytest.mark.parametrize("bad", [b"<html><body></html>", b"<html><head/><body><script/></body></html>", b"<html><head/><body onload='x'/></html>", b"<html><head/><body><idx:orth value='x'/></body></html>", b"<!DOCTYPE a [<!ENTITY b 'c'>]><html><head/><body/></html>", b"\xff", b"<HTML/>"])
@@ -101,7 +106,7 @@ def test_package_paths_and_references():
         with pytest.raises(pk.PackageError):
             pk.resolve("p.html", bad)
     with pytest.raises(pk.PackageError):
-        pk.members(w.package(A__xhtml="x"), 1 << 20)
+        pk.members(w.package({"wet/words/M.xhtml": "x"}), 1 << 20)
     with pytest.raises(pk.PackageError):
         pk.members(w.package(), 10)
 
@@ -113,9 +118,10 @@ def test_conversion_round_trip(spark, tmp_path, content):
     out = str(tmp_path / "out")
     counts = convert.convert(spark, str(tmp_path / "in"), out).first()
     compiled = content[:4] != b"PK\x03\x04"
+    plural, base = ("reeds", "reed") if compiled else ("mosses", "moss")
     assert (counts.entries, counts.synonyms) == ((5, 3) if compiled else (3, 1))
-    assert [(r.query, r.word) for r in convert.look_up(spark, out, ["runs", "nothing"]).collect()] == [("runs", "run")]
-    assert {r.word for r in convert.look_up(spark, out, ["CAFE"], "goldendict-ng").collect()} == {"café"}
+    assert [(r.query, r.word) for r in convert.look_up(spark, out, [plural, "nothing"]).collect()] == [(plural, base)]
+    assert {r.word for r in convert.look_up(spark, out, ["FORET"], "goldendict-ng").collect()} == {"forêt"}
     stardict.register(spark)
     got = spark.read.format("stardict").load(out)
     assert got.count() == counts.entries and spark.read.format("stardict").option("table", "synonyms").load(out).count() == counts.synonyms
@@ -128,8 +134,20 @@ def test_conversion_round_trip(spark, tmp_path, content):
     assert convert.verify(spark, out, items).count() > 0
 
 
+def test_books_of_one_folder_are_looked_up_apart(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i, word in enumerate(("alpha", "gamma")):
+        text = f"<p>{word}</p>".encode()
+        (tmp_path / f"in/{i}").write_bytes(w.book(text, [(word, 0, len(text))]))
+    out = str(tmp_path / "out")
+    convert.convert(spark, str(tmp_path / "in"), out)
+    assert [r.word for r in convert.look_up(spark, out, ["alpha"]).collect()] == ["alpha"]
+    hits = convert.look_up(spark, out, ["ALPHA", "gammas"], "goldendict-ng").collect()
+    assert sorted((r["query"], r.word) for r in hits) == [("ALPHA", "alpha"), ("gammas", "gamma")] and len({r.book_id for r in hits}) == 2
+
+
 def test_conversion_refuses(spark, tmp_path):
-    (tmp_path / "one").write_bytes(w.package(image__png=None))
+    (tmp_path / "one").write_bytes(w.package({"wet/look/moss.png": None}))
     with pytest.raises(CheckFailed) as e:
         convert.convert(spark, str(tmp_path), str(tmp_path / "out"))
     assert e.value.exit_code == 5

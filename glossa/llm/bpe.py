@@ -5,7 +5,7 @@ tokens themselves. Any other pre-token is merged over a linked list of its
 bytes with a heap of candidate pairs, so it costs O(n log n) at any length.
 Texts are cut first at white space into runs that the pre-token pattern
 splits each on its own; a run's ids are remembered in two bounded
-generations, which a worker keeps between batches.
+generations, which a worker keeps until its partition ends.
 
 Ids travel as little-endian unsigned 32-bit integers.
 
@@ -117,6 +117,11 @@ class Codec:
         self.bytes = {r: t for t, r in self.ranks.items()}
         self.young, self.old = _Young(self), {}
 
+    def forget(self) -> None:
+        """Drops the remembered runs."""
+        self.young.clear()
+        self.old = {}
+
     def lookup(self, token: bytes) -> int:
         """First tier: the id of a pre-token that is in the vocabulary, else -1."""
         s = self.hash.slot(token)
@@ -205,9 +210,10 @@ def _each(docs: DataFrame, codec: Codec, text: str, keep: tuple[str, ...], colum
             rows = [row(own, t) for t in tx.texts(batch.column(len(keep)))]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields, strict=True))], [*keep, *(n for n, _ in fields)])
+        own.forget()
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{schema}, {columns}")
+    return tx.arrow_map(docs.select(*keep, F.col(text).alias("__text")), run, f"{schema}, {columns}")
 
 
 def encode(docs: DataFrame, codec: Codec, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -240,4 +246,4 @@ def decode(encoded: DataFrame, codec: Codec, ids: str = "ids", keep: tuple[str,
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([own.decode(x or b"") for x in batch.column(len(keep)).to_pylist()], pa.binary())], [*keep, "data"])
 
     schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep)
-    return encoded.select(*keep, F.col(ids).alias("__ids")).mapInArrow(run, f"{schema}, data binary")
+    return tx.arrow_map(encoded.select(*keep, F.col(ids).alias("__ids")), run, f"{schema}, data binary")

@@ -113,7 +113,7 @@ def with_edits(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     """
     rows = _dealt(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
     runs = rows.repartition(partitions(docs.sparkSession), "run").sortWithinPartitions("run", "donor", F.col("key").desc_nulls_last(), "text")
-    return runs.select("key", "text", "run", "donor").mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return tx.arrow_map(runs.select("key", "text", "run", "donor"), _compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -123,7 +123,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(to_hex(signatures(tx.texts(batch.column(1)))), pa.string())], [key, "fingerprint"])
 
-    return docs.select(key, F.col(text).alias("text")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fingerprint string")
+    return tx.arrow_map(docs.select(key, F.col(text).alias("text")), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fingerprint string")
 
 
 def band_rows(threshold: float) -> int:
@@ -151,7 +151,7 @@ def matches(queries: DataFrame, docs: DataFrame, threshold: float = 0.8, width:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands, pa.list_(pa.binary())), pa.array(held, pa.list_(pa.int64()))], [key, "bands", "members"])
 
     kind = docs.schema[key].dataType.simpleString()
-    left, right = (d.select(key, F.col(text).alias("text")).mapInArrow(sets, f"`{key}` {kind}, bands array<binary>, members array<long>") for d in (queries, docs))
+    left, right = (tx.arrow_map(d.select(key, F.col(text).alias("text")), sets, f"`{key}` {kind}, bands array<binary>, members array<long>") for d in (queries, docs))
     ql, dl = (d.select(F.col(key).alias(n), F.explode("bands").alias("band")) for d, n in ((left, "query_id"), (right, "doc_id")))
     met = ql.join(dl, "band").where("query_id <> doc_id").select("query_id", "doc_id").distinct()
     full = met.join(left.select(F.col(key).alias("query_id"), F.col("members").alias("m1")), "query_id").join(right.select(F.col(key).alias("doc_id"), F.col("members").alias("m2")), "doc_id")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from glossa.llm import text as tx
 
-#: Language families by ISO 639-1 code. A language not named is a family of its own.
+#: Language families by ISO 639-1 code. Those not named are one family.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no"),
     "romance": ("fr", "es", "it", "pt", "ro", "ca"),
@@ -35,6 +35,10 @@ FAMILIES = {
 }
 BUCKETS = 4096
 PER_LANGUAGE = 800
+#: Languages that are learned, the most frequent ones; bounds the machines, one for each pair of a family.
+LANGUAGES = 64
+#: The family of languages that are in no other.
+OTHERS = "others"
 UND = "und"
 #: Integer weights are real ones times this.
 SCALE = 1 << 20
@@ -48,7 +52,7 @@ _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
 
 def family_of(lang: str) -> str:
-    return next((f for f, langs in FAMILIES.items() if lang in langs), lang)
+    return next((f for f, langs in FAMILIES.items() if lang in langs), OTHERS)
 
 
 def trigrams(data: np.ndarray) -> np.ndarray:
@@ -120,19 +124,19 @@ def _one_versus_one(x, labels: np.ndarray, scale: np.ndarray) -> list:
     return out
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> dict:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> dict:
     """The machines, learned from a hash sample of the labelled rows.
 
-    The sample has about ``per_language`` rows of each language, so its size
-    is bounded by the number of languages and not by the table.
+    The sample has about ``per_language`` rows of each of the ``languages``
+    most frequent languages, so its size does not follow the table's.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(key, text), F.lit(1 << 20)).alias("draw")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not counts:
         return {"langs": [], "families": [], "pairs": {}}
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, math.ceil(min(1.0, per_language / n) * (1 << 20)))])
     sample = rows.where(F.col("draw") < share[F.col("lang")]).select("lang", "text")
-    got = sample.mapInArrow(_features, "lang string, buckets binary, shares binary").collect()
+    got = tx.arrow_map(sample, _features, "lang string, buckets binary, shares binary").collect()
     got.sort(key=lambda r: (r.lang, bytes(r.buckets), bytes(r.shares)))
     x = np.zeros((len(got), BUCKETS), np.float32)
     for i, r in enumerate(got):
@@ -166,7 +170,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def predictor(model: dict):
     machines = model["families"] + [m for f in sorted(model["pairs"]) for m in model["pairs"][f]]
-    weights = np.stack([m[2] for m in machines]) if machines else np.zeros((0, BUCKETS), np.int64)
+    weights = np.stack([m[2] for m in machines]).astype(np.int64) if machines else np.zeros((0, BUCKETS), np.int64)
     bias = np.array([m[3] for m in machines])
     langs = {f: sorted(v for v in model["langs"] if family_of(v) == f) for f in sorted({family_of(v) for v in model["langs"]})}
 
@@ -193,22 +197,23 @@ def predictor(model: dict):
     return predict
 
 
-def identify(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, ``lang_pred`` and ``score`` for every row of ``docs``."""
+def identify(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep``, the predicted language and its score (called ``names``) for every row of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # LANGUAGES bounds its size
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     read = keep if text in keep else (*keep, text)
 
     def run(batches):
-        predict = predictor(model)
+        predict = predictor(shared.value)
         for whole in batches:
             for lo in range(0, len(whole), SLICE):
                 batch = whole.slice(lo, SLICE)
                 col = batch.column(read.index(text))
                 letters = np.fromiter((any(map(str.isalpha, t)) for t in tx.texts(col)), bool, len(col))
                 pred, score = predict(*tx.utf8_buffer(col), letters)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
 
-    return docs.select(*read).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return tx.arrow_map(docs.select(*read), run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def with_language(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -7,13 +7,77 @@ value of an empty one.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 MASK64 = (1 << 64) - 1
 #: Bytes of text that a kernel expands to numpy arrays at once.
 BLOCK_BYTES = 1 << 20
+#: Bytes of rows that a kernel sees at once, and that an Arrow batch is filled to (one row at least).
+BATCH_BYTES = 2 << 20
+SIEVE_WORDS = 1 << 18
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded by bytes, whose worker gives its memory back after each partition.
+
+    The batch bound is set for the session unless the session has one.
+    """
+    conf = df.sparkSession.conf
+    if BATCH_SETTING not in conf.getAll:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+    def bounded(batches):
+        try:
+            yield from run(cut(batches))
+        finally:
+            release()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def cut(batches, limit: int = BATCH_BYTES):
+    """The batches in slices of about ``limit`` bytes, one row at least."""
+    for batch in batches:
+        if batch.nbytes <= limit or len(batch) < 2:
+            yield batch
+            continue
+        sizes = np.full(len(batch), 8, np.int64)
+        for col in batch.columns:
+            if pa.types.is_string(col.type) or pa.types.is_binary(col.type):
+                sizes += np.diff(np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1])
+            else:
+                sizes += col.nbytes // len(col)
+        for i, j in row_blocks(sizes, limit):
+            yield batch.slice(i, j - i)
+
+
+def sifted(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``__maybe``: false only where ``column`` is none of ``keys``.
+
+    A bitmap of ``64 * SIEVE_WORDS`` bits of the keys' hashes is broadcast; its
+    size does not follow the data, only how often a row passes for no reason.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * SIEVE_WORDS))
+    bits = keys.select(place(key).alias("__at")).groupBy(F.expr("__at div 64").alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__at % 64 AS int))")).alias("__bits"))
+    met = rows.withColumn("__at", place(column)).join(F.broadcast(bits), F.expr("__at div 64") == F.col("__word"), "left")  # SIEVE_WORDS rows at most
+    return met.withColumn("__maybe", F.coalesce(F.expr("shiftrightunsigned(__bits, cast(__at % 64 AS int)) & 1") == 1, F.lit(False))).drop("__at", "__word", "__bits")
+
+
+def release() -> None:
+    """Drops the remembered hashes and returns free memory to the system; workers are used again by later stages."""
+    _HASHES.clear()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
 
 
 def utf8_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm import text as tx
-from glossa.runtime import stage
+from glossa.runtime import stage, unstage
 
 SAMPLE, LEXICON, MIN_DOCS, MIN_Z, MIN_ODDS = 2000, 256, 3, 4.5, 3.0
 WINDOW, STEPS, RATE, PENALTY = 48, 150, 0.5, 1e-4
@@ -53,7 +53,7 @@ def _distinct(batches):
 
 def _lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> list[bytes]:
     """Words whose presence speaks for a toxic document, strongest first."""
-    words = sample.select("toxic", "text").mapInArrow(_distinct, "toxic int, words array<binary>").select("toxic", F.explode("words").alias("w"))
+    words = tx.arrow_map(sample.select("toxic", "text"), _distinct, "toxic int, words array<binary>").select("toxic", F.explode("words").alias("w"))
     seen = words.groupBy("w").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).where(F.col("t") >= MIN_DOCS)
     t, c = F.col("t"), F.col("n") - F.col("t")
     odds = F.log((t + 0.5) / (n_toxic + 0.5 - t)) - F.log((c + 0.5) / (n_clean + 0.5 - c))
@@ -64,22 +64,30 @@ def _lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> list[bytes]:
     return [bytes(r.w) for r in rated.orderBy(F.desc("z"), "w").limit(LEXICON).collect()]
 
 
-def _train(sequences: list[tuple[np.ndarray, int]], size: int) -> dict:
+def _windows(sequences: list[tuple[int, np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (word numbers, labels, weights) of texts given as length, places and numbers of lexicon words, and label.
+
+    Whole windows of other words only are alike: one stands for all of them, weighted.
+    """
+    x, y, cold = [np.zeros((0, WINDOW), np.int64)], [np.zeros(0, bool)], 0
+    for n, at, ids, toxic in sequences:
+        hot, place = np.unique(at // WINDOW, return_inverse=True)
+        part = np.zeros((len(hot), WINDOW), np.int64)
+        part[place, at % WINDOW] = ids
+        part[hot[:, None] * WINDOW + np.arange(WINDOW) >= n] = -1
+        x.append(part)
+        y.append(np.full(len(hot), bool(toxic)))
+        cold += n // WINDOW - int((hot < n // WINDOW).sum())
+    x, y = np.concatenate(x), np.concatenate(y)
+    weight = np.ones(len(x))
+    if cold:
+        x, y, weight = np.vstack([x, np.zeros((1, WINDOW), np.int64)]), np.append(y, False), np.append(weight, cold)
+    return x, ((x > 0) & y[:, None]).astype(np.int64), weight
+
+
+def _train(sequences: list[tuple[int, np.ndarray, np.ndarray, int]], size: int) -> dict:
     """Weights of the field from windows of tokens (0: any other word) and their documents' labels."""
-    x, y = [], []
-    for ids, toxic in sequences:
-        for lo in range(0, len(ids), WINDOW):
-            part = ids[lo : lo + WINDOW]
-            x.append(np.pad(part, (0, WINDOW - len(part)), constant_values=-1))
-            y.append((x[-1] > 0) & bool(toxic))
-    x, y = np.array(x, np.int64).reshape(-1, WINDOW), np.array(y, np.int64).reshape(-1, WINDOW)
-    hot = (x > 0).any(axis=1)  # windows of other words only are alike: one stands for all, weighted
-    cold = np.flatnonzero(~hot & (x >= 0).all(axis=1))
-    rows = np.concatenate([np.flatnonzero(hot), cold[:1]])
-    weight = np.ones(len(rows))
-    if len(cold):
-        weight[-1] = len(cold)
-    x, y = x[rows], y[rows]
+    x, y, weight = _windows(sequences)
     real = x >= 0
     emit, trans = np.zeros(size + 1), np.zeros((2, 2))
     emit[0] = -3.0
@@ -210,18 +218,21 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", k
 
     def number(batches):
         for batch in batches:
-            ids = [np.array([place.get(w, 0) for w in tokens(t)], "<i2").tobytes() for t in tx.texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["toxic", "ids"])
-
-    packed = sorted((r.toxic, bytes(r.ids)) for r in taken.select("toxic", "text").mapInArrow(number, "toxic int, ids binary").collect())
-    sequences = [(np.frombuffer(b, "<i2"), t) for t, b in packed]
+            ids = [np.array([place.get(w, 0) for w in tokens(t)], "<i2") for t in tx.texts(batch.column(1))]
+            at = [np.flatnonzero(x) for x in ids]
+            cols = [len(x) for x in ids], [a.astype("<i4").tobytes() for a in at], [x[a].tobytes() for x, a in zip(ids, at, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True))], ["toxic", "n", "at", "ids"])
+
+    # of each sampled text the driver gets its length and lexicon words
+    packed = sorted((r.toxic, r.n, bytes(r.at), bytes(r.ids)) for r in tx.arrow_map(taken.select("toxic", "text"), number, "toxic int, n long, at binary, ids binary").collect())
+    unstage(taken)
+    sequences = [(n, np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(b, "<i2").astype(np.int64), t) for t, n, a, b in packed]
     field = Field(lexicon, _train(sequences, len(lexicon)), np.zeros(5))
     x, y = [], []
-    for ids, t in sequences:
-        at = np.flatnonzero(ids).tolist()
-        p = field.marginals(len(ids), at, ids[at].tolist()) if at else np.zeros(0)
+    for n, at, ids, t in sequences:
+        p = field.marginals(n, at.tolist(), ids.tolist()) if len(at) else np.zeros(0)
         top = float(p.max()) if len(p) else 0.0
-        x.append((1.0, math.log1p(float(p.sum())), top, float(p.sum()) / max(1, len(ids)), math.log1p(len(ids)) * top))
+        x.append((1.0, math.log1p(float(p.sum())), top, float(p.sum()) / max(1, n), math.log1p(n) * top))
         y.append(t)
     if x:
         field.head = _logistic(np.array(x), np.array(y, float))
@@ -244,4 +255,4 @@ def score(docs: DataFrame, field: Field, text: str = "text", keep: tuple[str, ..
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(spans, kind)], [*keep, "score", "predicted", "spans"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{schema}, score double, predicted int, spans array<struct<start:long,end:long,chance:double>>")
+    return tx.arrow_map(docs.select(*keep, F.col(text).alias("__text")), run, f"{schema}, score double, predicted int, spans array<struct<start:long,end:long,chance:double>>")

@@ -2,6 +2,13 @@
 
 Each stage takes what its predecessor kept. All but the last return the
 columns of documents.
+
+Defined cases, for every stage: a null text is an empty one; an empty table
+gives an empty one; a very long text is read whole; repeated rows are rows of
+their own, but near-dedup keeps one row of an id; null ids, languages and
+sources are kept as they are, and a row with a null id is a duplicate of
+nothing; columns beyond those of documents pass unchanged up to the mixture and
+may have any name that does not begin with ``__``.
 """
 
 from __future__ import annotations
@@ -20,8 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language; the others' ``lang`` becomes the predicted one."""
     learn = F.coalesce(crc_mod(F.col("doc_id"), 4), F.lit(-1)) != 2
     model = langid.fit(docs.where(learn))
-    tagged = langid.identify(docs, model, keep=tuple(docs.columns))
-    return tagged.where(F.col("lang_pred") != langid.UND).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    tagged = langid.identify(docs, model, keep=tuple(docs.columns), names=("__lang", "__score"))
+    return tagged.where(F.col("__lang") != langid.UND).withColumn("lang", F.col("__lang")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

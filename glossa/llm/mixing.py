@@ -18,15 +18,17 @@ and refused beyond ``MAX_SOURCES``.
 Defined cases: a null text has size 0 and takes 0; a null source is a source
 of its own, the last; sources whose words are all taken ``MAX_REPEATS`` times
 leave the excess to the others by weight; rows with the same id are separate
-rows; an empty table, or one without words, takes nothing; other columns are
-ignored.
+rows, and those alike in id, source and text take what any pairing gives them; an empty table, or one without words, takes nothing; other columns are
+ignored and may have any name that does not begin with ``__``.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,14 +129,19 @@ def _running(df: DataFrame, group: list[str], bucket: str, order: list[str], val
 
 
 def _sized(docs: DataFrame, text: str, key: str, source: str) -> DataFrame:
-    return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), _size(text).alias("size"), F.xxhash64(text).alias("print"))
+
+
+def _size(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights=WEIGHTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sources, placed documents and taken pieces of the mixture of all rows of ``docs``.
 
     sources: (sid, source, source_size, target). placed: (doc_id, sid, size,
-    start), one row per document, ``start`` being its first word in its source.
+    print, start), one row per document, ``start`` being its first word in its
+    source and ``print`` a hash of its text.
     taken: (doc_id, sid, size, start, shard, slot, lo, hi), the document's words
     [lo, hi) that a slot takes.
     """
@@ -151,7 +158,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     buckets = max(1, -(-sum(r.rows for r in found) // BUCKET_ROWS))
     rows = sized.join(F.broadcast(sources.select("sid", F.col("source").alias("__src"))), F.col("source").eqNullSafe(F.col("__src"))).drop("__src", "source")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
-    placed = stage(_running(rows, ["sid"], "bucket", ["doc_id", "size"], "size", "start").drop("bucket"), "placed")
+    placed = stage(_running(rows, ["sid"], "bucket", ["doc_id", "size", "print"], "size", "start").drop("bucket"), "placed")
     plan = Plan(sizes, goal)
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK))))
     drawn = _slots(spark, plan)
@@ -217,38 +224,40 @@ def sample(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
     each holding the taken stretches of its text in order, one to a line; a
     document of which nothing is taken gives none, one without words stays.
     """
-    _, _, taken = mix(docs, text, key, source)
-    named = taken.select("doc_id", "size", "lo", "hi", "start", "sid", "slot")
-    order = F.row_number().over(Window.partitionBy("doc_id", "sid", "start", "lo").orderBy("slot"))
-    turns = named.withColumn("turn", order).groupBy("doc_id", "sid", "size", "start", "turn").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("cuts"))
-    per_doc = turns.groupBy("doc_id", "sid", "size", "start").agg(F.collect_list("cuts").alias("turns"))
-    rank = Window.partitionBy("doc_id", "size", "sid")
-    return _rows(docs, per_doc.withColumn("nth", F.row_number().over(rank.orderBy("start"))), text, key, source)
+    sources, placed, taken = mix(docs, text, key, source)
+    order = F.row_number().over(Window.partitionBy("sid", "start", "lo").orderBy("slot"))
+    turns = taken.select("sid", "start", "lo", "hi", "slot").withColumn("turn", order).groupBy("sid", "start", "turn").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("cuts"))
+    per_doc = turns.groupBy("sid", "start").agg(F.collect_list("cuts").alias("turns"))
+    # rows alike in id, source and text are numbered on either side, whether taken or not; any pairing of them is right
+    alike = ["doc_id", "sid", "print"]
+    nth = placed.where("size > 0").withColumn("nth", F.row_number().over(Window.partitionBy(*alike).orderBy("start")))
+    cuts = nth.join(per_doc, ["sid", "start"]).select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "sid", "print", "nth", "turns")))
+    return _rows(docs, sources, cuts, text, key, source)
 
 
-def _rows(docs: DataFrame, per_doc: DataFrame, text: str, key: str, source: str) -> DataFrame:
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(t, turns):
-        import pandas as pd
-        import re
+def _rows(docs: DataFrame, sources: DataFrame, cuts: DataFrame, text: str, key: str, source: str) -> DataFrame:
+    import pandas as pd
 
+    def cut(batches):
         find = re.compile(WORD).finditer
-        out = []
-        for s, lists in zip(t, turns, strict=True):
-            at = [m.span() for m in find(s or "")]
-            out.append(["\n".join(s[at[a][0] : at[b - 1][1]] for a, b in _joined(cuts)) for cuts in (lists if lists is not None else [])])
-        return pd.Series(out)
-
-    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    names = docs.columns
-    sids = per_doc.select(F.col("doc_id").alias("__k"), F.col("size").alias("__n"), "turns", "nth")
-    with_n = docs.withColumn("__size", size).withColumn("__nth", F.row_number().over(Window.partitionBy(key, "__size").orderBy(F.col(source), F.xxhash64(text))))
-    sids = sids.withColumn("nth", F.row_number().over(Window.partitionBy("__k", "__n").orderBy("nth")))
-    both = with_n.join(sids, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__size") == F.col("__n")) & (F.col("__nth") == F.col("nth")), "left").where("__size = 0 OR turns IS NOT NULL")
-    kept = F.when(F.col("__size") == 0, F.array(F.col(text))).otherwise(cut(F.col(text), F.transform("turns", lambda x: F.transform(x, lambda c: F.array(c.lo, c.hi)))))
-    rows = both.withColumn("__texts", kept).withColumn("__t", F.explode("__texts"))
-    out = [F.col("__t").alias(text) if c == text else F.when(F.col("__size") == 0, F.col(c)).otherwise(F.length("__t")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in names]
-    return rows.select(*out)
+        for parts in batches:
+            out = []
+            for s, lists in zip(*parts, strict=True):
+                at = [m.span() for m in find(s or "")]
+                out.append(["\n".join(s[at[a][0] : at[b - 1][1]] for a, b in _joined(cuts)) for cuts in lists])
+            yield pd.Series(out, dtype=object)
+        tx.release()
+
+    cut = F.pandas_udf(cut, T.ArrayType(T.StringType()), F.PandasUDFType.SCALAR_ITER)
+    names = sources.select(F.col("source").alias("__source"), F.col("sid").alias("__own_sid"))
+    rows = docs.withColumns({"__size": _size(text), "__own_print": F.xxhash64(text)})
+    empty = rows.where("__size = 0").select(*docs.columns)
+    full = rows.where("__size > 0").join(F.broadcast(names), F.col(source).eqNullSafe(F.col("__source")))
+    full = full.withColumn("__own_nth", F.row_number().over(Window.partitionBy(key, "__own_sid", "__own_print").orderBy(F.lit(0))))
+    met = F.col(key).eqNullSafe(F.col("__doc_id")) & (F.col("__own_sid") == F.col("__sid")) & (F.col("__own_print") == F.col("__print")) & (F.col("__own_nth") == F.col("__nth"))
+    taken = full.join(cuts, met).withColumn("__piece", F.explode(cut(F.col(text), F.transform("__turns", lambda x: F.transform(x, lambda c: F.array(c.lo, c.hi))))))
+    piece = {text: F.col("__piece")} | ({"n_chars": F.length("__piece").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return taken.select(*(piece.get(c, F.col(c)).alias(c) for c in docs.columns)).unionByName(empty)
 
 
 def _joined(cuts) -> list[tuple[int, int]]:

@@ -12,6 +12,26 @@ from pyspark.sql import functions as F
 from glossa.runtime import stage
 
 
+def with_previous(rows: DataFrame, key: list[str], by: list[Column], value: Column, name: str) -> DataFrame:
+    """Adds ``value`` of the row before within the key, null for its first; a key of any size is spread over tasks.
+
+    Rows are range-partitioned by key and order; a partition's first row takes
+    the value of the last row before, of which there is one for each partition.
+    """
+    order = {f"__k{i}": c for i, c in enumerate([*map(F.col, key), *by])}
+    ranged = stage(rows.withColumns(order | {"__v": value}).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "adjacent")
+    edge = F.struct(*key, "__v")
+    last = ranged.groupBy("__part").agg(F.max_by(edge, F.struct(*order)).alias("__last"))  # a row for each partition
+    at = Window.orderBy("__part")
+    before = last.select("__part", F.lag("__last").over(at).alias("__last"))
+    inside = F.lag(edge).over(Window.partitionBy("__part").orderBy(*order))
+    found = ranged.join(F.broadcast(before), "__part").withColumn("__e", F.coalesce(inside, F.col("__last")))
+    same = F.lit(True)
+    for k in key:
+        same &= F.col("__e")[k].eqNullSafe(F.col(k))
+    return found.withColumn(name, F.when(same, F.col("__e")["__v"])).drop("__part", "__last", "__e", "__v", *order)
+
+
 def span_ok(start: Column, end: Column, bound: Column) -> Column:
     return (start >= 0) & (start <= end) & (end <= bound)
 
@@ -40,18 +60,17 @@ def covered_length(spans: DataFrame, key: str) -> DataFrame:
 
 def tiling(ranges: DataFrame, key: list[str], offset: str = "offset", size: str = "size") -> DataFrame:
     """(key..., n_bad, total): how many distinct ranges do not begin where the one before ended, and where the last ends."""
-    order = Window.partitionBy(*key).orderBy(offset, size)
     distinct = ranges.select(*key, offset, size).distinct()
-    bad = F.lag(F.col(offset) + F.col(size), 1, 0).over(order) != F.col(offset)
-    return distinct.withColumn("bad", bad).groupBy(*key).agg(F.sum(F.col("bad").cast("long")).alias("n_bad"), F.max(F.col(offset) + F.col(size)).alias("total"))
+    rows = with_previous(distinct, key, [F.col(offset), F.col(size)], F.col(offset) + F.col(size), "__before")
+    bad = F.coalesce(F.col("__before"), F.lit(0)) != F.col(offset)
+    return rows.withColumn("bad", bad).groupBy(*key).agg(F.sum(F.col("bad").cast("long")).alias("n_bad"), F.max(F.col(offset) + F.col(size)).alias("total"))
 
 
 def unsorted(rows: DataFrame, key: list[str], position: str, by: list[Column]) -> DataFrame:
     """(key..., n_bad): adjacent pairs that are out of order."""
-    order = Window.partitionBy(*key).orderBy(position)
     item = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)])
-    bad = F.coalesce(F.lag(item).over(order) > item, F.lit(False))
-    return rows.withColumn("bad", bad).groupBy(*key).agg(F.sum(F.col("bad").cast("long")).alias("n_bad"))
+    bad = F.coalesce(F.col("__before") > item, F.lit(False))
+    return with_previous(rows, key, [F.col(position)], item, "__before").withColumn("bad", bad).groupBy(*key).agg(F.sum(F.col("bad").cast("long")).alias("n_bad"))
 
 
 def overlapping(spans: DataFrame, key: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions.readers import collision_key
+from glossa.operators.intervals import ordinals
 
 
 def difference(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -34,8 +35,7 @@ def roles(claims: DataFrame, all_ids: DataFrame, key: str) -> DataFrame:
 def style_sets(lists: DataFrame, key: str, items: str) -> DataFrame:
     """(key, set_id): rows with the same ordered list share a set, numbered by first appearance."""
     sets = lists.groupBy(items).agg(F.min(key).alias("first"))
-    # one row for each distinct list of stylesheets of a book
-    numbered = sets.withColumn("set_id", (F.row_number().over(Window.orderBy("first")) - 1).cast("long")).drop("first")
+    numbered = ordinals(sets, [F.col("first")], "set_id").drop("first")
     return lists.select(key, items).join(numbered, items).select(key, "set_id", items)
 
 

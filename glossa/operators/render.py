@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from glossa.functions import html_kernel, words
 from glossa.operators.intervals import overlapping, owners
@@ -15,13 +15,66 @@ from glossa.operators.rejects import failures, missing, together
 ANCHOR = "glo-pos-"
 
 
+#: Bytes of payloads in a batch that a book's kernel gives.
+BATCH_BYTES = 4 << 20
+
+
 def attributes(texts: DataFrame) -> DataFrame:
-    """(book_id, seq, tag, name, value_start, value_end, value) of all tags' attributes that have a value."""
-    found = tokens(texts.select("book_id", "text"), "book_id", "text").where("kind = 'tag' AND NOT closing")
-    each = found.select("book_id", "seq", F.col("name").alias("tag"), F.inline("attrs"))
-    named = each.where("value_start >= 0").select("book_id", "seq", "tag", "name", F.col("value_start"), F.col("value_end"))
-    value = F.expr("decode(substring(text, cast(value_start + 1 AS int), cast(value_end - value_start AS int)), 'utf-8')")
-    return named.join(texts.select("book_id", "text"), "book_id").withColumn("value", value).drop("text")
+    """(book_id, seq, tag, name, value_start, value_end, value) of all tags' attributes that have a value.
+
+    Read in one pass over each text; a text that breaks off gives those before.
+    """
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+
+    def run(batches):
+        for batch in batches:
+            for k, data in enumerate(batch.column(1)):
+                data, rows = data.as_py() or b"", []
+                data = data.encode() if isinstance(data, str) else data
+                try:
+                    for seq, t in enumerate(html_kernel.tokens(data)):
+                        if t.kind == "tag" and not t.closing:
+                            rows += [(seq, t.name, a.name, a.value_start, a.value_end, data[a.value_start : a.value_end].decode(errors="replace")) for a in t.attrs if a.value_start >= 0]
+                except html_kernel.HtmlError:
+                    pass
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+                owner = batch.column(0).take(pa.array([k] * len(rows), pa.int64()))
+                yield pa.RecordBatch.from_arrays([owner, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["book_id", "seq", "tag", "name", "value_start", "value_end", "value"])
+
+    return texts.select("book_id", "text").mapInArrow(run, f"book_id {texts.schema['book_id'].dataType.simpleString()}, seq long, tag string, name string, value_start long, value_end long, value string")
+
+
+def cut(spans: DataFrame, content: DataFrame) -> DataFrame:
+    """(book_id, id, payload): the bytes of each span (book_id, id, start, end) of its book's text.
+
+    With a column ``es`` of edits (start, end, replacement) these are replayed.
+    A book's text meets all of its spans in one row, so it is moved once and
+    not once for each of them.
+    """
+    edited = "es" in spans.columns
+    wanted = spans.groupBy("book_id").agg(F.collect_list(F.struct("id", "start", "end", *["es"] * edited)).alias("spans"))
+    kind = spans.schema["id"].dataType
+
+    def one(text: bytes, s: dict) -> bytes:
+        if not edited or not s["es"]:
+            return text[s["start"] : s["end"]]
+        return html_kernel.replay(text, sorted((e["start"], e["end"], e["replacement"].encode()) for e in s["es"]), s["start"], s["end"])
+
+    def run(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                book, text, ids, out, size = batch.column(0).slice(k, 1), batch.column(2)[k].as_py() or b"", [], [], 0
+                for s in [*batch.column(1)[k].as_py(), None]:
+                    if s is None or size > BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([book.take(pa.array([0] * len(ids), pa.int64())), pa.array(ids, to_arrow_type(kind)), pa.array(out, pa.binary())], ["book_id", "id", "payload"])
+                        ids, out, size = [], [], 0
+                    if s is not None:
+                        ids.append(s["id"])
+                        out.append(one(text, s))
+                        size += len(out[-1])
+
+    both = wanted.join(content.select("book_id", F.col("text").cast("binary").alias("text")), "book_id").select("book_id", "spans", "text")
+    return both.mapInArrow(run, f"book_id {spans.schema['book_id'].dataType.simpleString()}, id {kind.simpleString()}, payload binary")
 
 
 def plan(texts: DataFrame, entries: DataFrame, resources: DataFrame, namespaces: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,12 +117,10 @@ def definitions(spans: DataFrame, content: DataFrame, edits: DataFrame, prefix:
     ``edits`` (book_id, start, end, replacement), ``prefix`` (book_id,
     prefix, suffix). Edits are grouped by the span that holds them.
     """
-    @F.pandas_udf(T.BinaryType())
-    def rendered(text: pd.Series, start: pd.Series, end: pd.Series, es: pd.Series) -> pd.Series:
-        return pd.Series([html_kernel.replay(bytes(t), sorted((e["start"], e["end"], e["replacement"].encode()) for e in (x if x is not None else [])), int(a), int(b)) for t, a, b, x in zip(text, start, end, es, strict=True)])
-
     points = edits.select("book_id", F.col("start").alias("pos"), F.struct("start", "end", "replacement").alias("e"))
     held = owners(points.select("book_id", "pos").distinct(), spans, ["book_id"]).join(points, ["book_id", "pos"]).groupBy("book_id", F.col("owner").alias("id")).agg(F.collect_list("e").alias("es"))
-    rows = spans.join(held, ["book_id", "id"], "left").join(content, "book_id").join(prefix, "book_id", "left")
-    body = rendered("text", "start", "end", "es")
-    return rows.select("book_id", "id", F.concat(F.encode(F.coalesce("prefix", F.lit("")), "utf-8"), body, F.encode(F.coalesce("suffix", F.lit("")), "utf-8")).alias("payload"))
+    empty = F.array().cast("array<struct<start:long,end:long,replacement:string>>")
+    rows = spans.select("book_id", "id", "start", "end").join(held, ["book_id", "id"], "left").withColumn("es", F.coalesce("es", empty))
+    body = cut(rows, content).join(prefix, "book_id", "left")
+    whole = F.concat(F.encode(F.coalesce("prefix", F.lit("")), "utf-8"), F.col("payload"), F.encode(F.coalesce("suffix", F.lit("")), "utf-8"))
+    return body.select("book_id", "id", whole.alias("payload"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions.words import title_or_label
-from glossa.operators import catalog, lookup
+from glossa.operators import catalog, lookup, render
 from glossa.operators.rejects import CheckFailed
 from glossa.runtime import stage
 from glossa.sources import books, packages, stardict
@@ -30,8 +30,8 @@ def compiled_tables(files: DataFrame) -> dict[str, DataFrame]:
 def compiled_items(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(items, aliases): each entry's bytes of the text as payload, supplements included."""
     entries = books.with_supplements(tables["entries"], tables["texts"])
-    body = entries.join(tables["texts"], "book_id")
-    items = body.select("book_id", "id", F.col("headword").alias("word"), F.expr("substring(text, cast(start + 1 AS int), cast(`end` - start AS int))").alias("payload"))
+    payloads = render.cut(entries.select("book_id", "id", "start", "end"), tables["texts"])
+    items = entries.select("book_id", "id", F.col("headword").alias("word")).join(payloads, ["book_id", "id"])
     return items, tables["aliases"].select("book_id", F.col("id").alias("target_id"), "word")
 
 

@@ -139,29 +139,41 @@ class Huff:
     DEPTH = 64
 
     def __init__(self, table: bytes, dictionaries: list[bytes], most: int = 2_000_000):
-        if cut(table, 0, 4) != b"HUFF" or u32(table, 4) < 24:
+        self.quick, self.low, self.high = self._ranges(table)
+        self.phrases = [p for part in self._parts(dictionaries, most) for p in part]
+
+    @staticmethod
+    def _ranges(table: bytes):
+        """The entries by leading byte, and for each code length the least and the greatest code, left-aligned in 32 bits."""
+        magic, size, quick, limits = struct.unpack(">4s3I", cut(table, 0, 16))
+        if magic != b"HUFF" or size < 24:
             raise BookError("MALFORMED", "code table header")
-        self.quick = struct.unpack(">256I", cut(table, u32(table, 8), 1024))
-        limits = struct.unpack(">64I", cut(table, u32(table, 12), 256))
-        self.low = [0] + [lo << 32 - n for n, lo in enumerate(limits[::2], 1)]
-        self.high = [0] + [max(0, (hi + 1 << 32 - n) - 1) for n, hi in enumerate(limits[1::2], 1)]
-        if not dictionaries:
-            raise BookError("MALFORMED", "no phrase record")
-        total, width = u32(dictionaries[0], 8), u32(dictionaries[0], 12)
-        if not 0 < total <= most or not 1 <= width <= 16:
+        low, high = [0], [0]
+        for n, (first, last) in enumerate(struct.iter_unpack(">2I", cut(table, limits, 8 * 32)), 1):
+            low.append(first << 32 - n)
+            high.append(max(0, (last + 1 << 32 - n) - 1))
+        return struct.unpack(">256I", cut(table, quick, 4 * 256)), low, high
+
+    @staticmethod
+    def _parts(records: list[bytes], most: int):
+        """The (phrase, is literal) pairs of each record; every record but the last holds the same power of two."""
+        heads = {cut(r, 0, 16) for r in records}
+        if len(heads) != 1:
+            raise BookError("MALFORMED", "phrase record headers differ" if heads else "no phrase record")
+        magic, size, total, width = struct.unpack(">4s3I", heads.pop())
+        if magic != b"CDIC" or size != 16:
+            raise BookError("MALFORMED", "phrase record header")
+        if not (1 <= total <= most and 1 <= width <= 16):
             raise BookError("LIMIT", "phrase table")
-        self.phrases: list[tuple[bytes, bool]] = []
-        for d in dictionaries:
-            n = min(total - len(self.phrases), 1 << width)
-            if cut(d, 0, 16) != b"CDIC" + struct.pack(">3I", 16, total, width) or n == 0:
-                raise BookError("MALFORMED", "phrase record header")
-            for off in struct.unpack(f">{n}H", cut(d, 16, 2 * n)):
-                if off < 2 * n:
-                    raise BookError("MALFORMED", "phrase over the offset table")
-                size = u16(d, 16 + off)
-                self.phrases.append((cut(d, 18 + off, size & 0x7FFF), bool(size & 0x8000)))
-        if len(self.phrases) != total:
-            raise BookError("INCOMPLETE", "phrase count")
+        counts = [min(1 << width, total - at) for at in range(0, total, 1 << width)]
+        if len(records) != len(counts):
+            raise BookError(*(("MALFORMED", "a record more than phrases") if len(records) > len(counts) else ("INCOMPLETE", "phrase count")))
+        for record, n in zip(records, counts, strict=True):
+            places = struct.unpack(f">{n}H", cut(record, 16, 2 * n))
+            if min(places) < 2 * n:
+                raise BookError("MALFORMED", "phrase over the offset table")
+            sizes = [u16(record, 16 + at) for at in places]
+            yield [(cut(record, 18 + at, size & 0x7FFF), size > 0x7FFF) for at, size in zip(places, sizes, strict=True)]
 
     def _codes(self, data: bytes):
         """Phrase numbers coded in the data; an incomplete last code is padding."""

@@ -20,11 +20,11 @@ BATCH_BYTES = 4 << 20
 
 
 def attributes(texts: DataFrame) -> DataFrame:
-    """(book_id, seq, tag, name, value_start, value_end, value) of all tags' attributes that have a value.
+    """(book_id, seq, tag, name, attr_start, value_start, value_end, value) of all tags' attributes that have a value.
 
     Read in one pass over each text; a text that breaks off gives those before.
     """
-    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
 
     def run(batches):
         for batch in batches:
@@ -34,14 +34,14 @@ def attributes(texts: DataFrame) -> DataFrame:
                 try:
                     for seq, t in enumerate(html_kernel.tokens(data)):
                         if t.kind == "tag" and not t.closing:
-                            rows += [(seq, t.name, a.name, a.value_start, a.value_end, data[a.value_start : a.value_end].decode(errors="replace")) for a in t.attrs if a.value_start >= 0]
+                            rows += [(seq, t.name, a.name, a.start, a.value_start, a.value_end, data[a.value_start : a.value_end].decode(errors="replace")) for a in t.attrs if a.value_start >= 0]
                 except html_kernel.HtmlError:
                     pass
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
                 owner = batch.column(0).take(pa.array([k] * len(rows), pa.int64()))
-                yield pa.RecordBatch.from_arrays([owner, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["book_id", "seq", "tag", "name", "value_start", "value_end", "value"])
+                yield pa.RecordBatch.from_arrays([owner, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["book_id", "seq", "tag", "name", "attr_start", "value_start", "value_end", "value"])
 
-    return texts.select("book_id", "text").mapInArrow(run, f"book_id {texts.schema['book_id'].dataType.simpleString()}, seq long, tag string, name string, value_start long, value_end long, value string")
+    return texts.select("book_id", "text").mapInArrow(run, f"book_id {texts.schema['book_id'].dataType.simpleString()}, seq long, tag string, name string, attr_start long, value_start long, value_end long, value string")
 
 
 def cut(spans: DataFrame, content: DataFrame) -> DataFrame:
@@ -77,12 +77,12 @@ def cut(spans: DataFrame, content: DataFrame) -> DataFrame:
     return both.mapInArrow(run, f"book_id {spans.schema['book_id'].dataType.simpleString()}, id {kind.simpleString()}, payload binary")
 
 
-def plan(texts: DataFrame, entries: DataFrame, resources: DataFrame, namespaces: DataFrame) -> tuple[DataFrame, DataFrame]:
+def plan(texts: DataFrame, entries: DataFrame, resources: DataFrame, namespaces: DataFrame, sources: bool = False) -> tuple[DataFrame, DataFrame]:
     """(edits, failures) of compiled books.
 
     Links to byte positions (``filepos``) or anchors become lookups of the
     owning entry with an anchor at the position; images by number become
-    paths. ``entries`` (book_id, id, start, end), ``resources`` (book_id,
+    paths, with ``sources`` in an attribute ``src``. ``entries`` (book_id, id, start, end), ``resources`` (book_id,
     recindex, file), ``namespaces`` (book_id, namespace). Edits are
     (book_id, start, end, replacement, reason).
     """
@@ -99,7 +99,9 @@ def plan(texts: DataFrame, entries: DataFrame, resources: DataFrame, namespaces:
     targets = owned.where("owner IS NOT NULL").select("book_id", *edit(F.col("pos"), F.col("pos"), F.concat(F.lit(f'<a id="{ANCHOR}'), F.col("pos").cast("string"), F.lit('"></a>')), "anchor"))
     numbers = found.where("tag = 'img' AND name = 'recindex'").withColumn("recindex", F.expr("try_cast(value AS bigint)"))
     images = numbers.join(resources.select("book_id", "recindex", "file"), ["book_id", "recindex"]).select("book_id", *edit(F.col("value_start"), F.col("value_end"), F.col("file"), "image"))
+    renamed = numbers.where("recindex IS NOT NULL").select("book_id", *edit(F.col("attr_start"), F.col("attr_start") + len("recindex"), F.lit("src"), "source"))
     edits = links.unionByName(targets).unionByName(images)
+    edits = edits.unionByName(renamed) if sources else edits
     bad = together(
         failures(linked, "link", F.col("value"), F.col("pos").isNull(), "INCOMPLETE", "no target"),
         failures(anchored, "anchor", F.col("anchor"), F.col("n") > 1, "MALFORMED", "anchor at several positions"),
@@ -124,3 +126,11 @@ def definitions(spans: DataFrame, content: DataFrame, edits: DataFrame, prefix:
     body = cut(rows, content).join(prefix, "book_id", "left")
     whole = F.concat(F.encode(F.coalesce("prefix", F.lit("")), "utf-8"), F.col("payload"), F.encode(F.coalesce("suffix", F.lit("")), "utf-8"))
     return body.select("book_id", "id", whole.alias("payload"))
+
+
+def keys(entries: DataFrame, edits: DataFrame, namespaces: DataFrame) -> DataFrame:
+    """(book_id, word, target_id): the generated key of each entry, and the keys that links use, with their anchors."""
+    own = entries.select("book_id", "id").join(namespaces, "book_id").select("book_id", words.routing_key(F.col("namespace"), F.col("id")).alias("word"), F.col("id").alias("target_id"))
+    used = edits.where("reason = 'link'").select("book_id", F.regexp_extract("replacement", "^bword://(.*)$", 1).alias("word")).distinct()
+    entry = F.conv(F.regexp_extract("word", "_entry_([0-9a-f]{16})#", 1), 16, 10).cast("long")
+    return own.unionByName(used.select("book_id", "word", entry.alias("target_id")))

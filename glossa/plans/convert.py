@@ -28,11 +28,28 @@ def compiled_tables(files: DataFrame) -> dict[str, DataFrame]:
 
 
 def compiled_items(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(items, aliases): each entry's bytes of the text as payload, supplements included."""
-    entries = books.with_supplements(tables["entries"], tables["texts"])
-    payloads = render.cut(entries.select("book_id", "id", "start", "end"), tables["texts"])
+    """(items, aliases): each entry with the bytes of its text, supplements included, and forms and generated keys.
+
+    Links by position or anchor lead to the generated key of the entry that
+    owns their target; images are named by their files. A link or an image
+    without a target, or one at odds with another, raises ``CheckFailed``.
+    """
+    entries = stage(books.with_supplements(tables["entries"], tables["texts"]), "entries")
+    names = tables["books"].select("book_id", F.col("book_id").alias("namespace"))
+    edits, bad = render.plan(tables["texts"], entries, tables["resources"], names, sources=True)
+    refuse(bad)
+    edits = stage(edits, "edits")
+    bare = names.select("book_id", F.lit("").alias("prefix"), F.lit("").alias("suffix"))
+    payloads = render.definitions(entries.select("book_id", "id", "start", "end"), tables["texts"], edits, bare)
     items = entries.select("book_id", "id", F.col("headword").alias("word")).join(payloads, ["book_id", "id"])
-    return items, tables["aliases"].select("book_id", F.col("id").alias("target_id"), "word")
+    forms = tables["aliases"].select("book_id", "word", F.col("id").alias("target_id"))
+    return items, forms.unionByName(render.keys(entries, edits, names))
+
+
+def refuse(bad: DataFrame) -> None:
+    """Raises the first of the failures of a check, if there is one."""
+    for r in bad.limit(1).collect():
+        raise CheckFailed(r.code, f"{r.check} {r.key}")
 
 
 def convert(spark: SparkSession, path: str, out: str, backend: str = "auto") -> DataFrame:
@@ -48,9 +65,7 @@ def convert(spark: SparkSession, path: str, out: str, backend: str = "auto") ->
     if backend == "srcs" or (backend == "auto" and files.where(zipped).limit(1).count()):
         package = stage(packages.files(files.where(zipped)), "package")
         tables = packages.book(package)
-        bad = packages.reference_failures(package, tables).limit(1).collect()
-        if bad:
-            raise CheckFailed(bad[0].code, f"{bad[0].check} {bad[0].key}")
+        refuse(packages.reference_failures(package, tables))
         items, aliases = packages.catalog_items(package, tables)
         titles = packages.spine(package).groupBy("book_id").agg(F.max("title").alias("title"))
     else:
@@ -60,6 +75,7 @@ def convert(spark: SparkSession, path: str, out: str, backend: str = "auto") ->
             raise CheckFailed(bad[0].code, bad[0].message)
         items, aliases = compiled_items(tables)
         titles = tables["books"].select("book_id", "title")
+        stardict.write_resources(tables["resources"].select("book_id", "file", "content"), out)
     items = stage(items, "items")
     written = stage(stardict.write(items, aliases, out, titles.withColumn("title", title_or_label(F.col("title"), F.lit("en")))), "written")
     wrong = verify(spark, out, items).limit(1).collect()

@@ -66,6 +66,28 @@ def write(items: DataFrame, aliases: DataFrame, folder: str, titles: DataFrame |
     return runs.mapInArrow(run, "book_id string, entries long, synonyms long, dict_bytes long")
 
 
+def write_resources(files: DataFrame, folder: str) -> None:
+    """Write files (book_id, file, content) into the ``res`` folder of their book's dictionary."""
+    uri = qualified(files.sparkSession, folder)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        fs, root = pyarrow.fs.FileSystem.from_uri(uri)
+        attempt, n = TaskContext.get().taskAttemptId(), 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                res = f"{root}/{r['book_id']}/res"
+                fs.create_dir(res, recursive=True)
+                with fs.open_output_stream(f"{res}/_writing-{attempt}", compression=None) as out:
+                    out.write(r["content"])
+                fs.move(f"{res}/_writing-{attempt}", f"{res}/{r['file']}")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    files.select("book_id", "file", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def _summary(rows) -> pa.RecordBatch:
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 4

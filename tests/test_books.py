@@ -119,7 +119,7 @@ def test_conversion_round_trip(spark, tmp_path, content):
     counts = convert.convert(spark, str(tmp_path / "in"), out).first()
     compiled = content[:4] != b"PK\x03\x04"
     plural, base = ("reeds", "reed") if compiled else ("mosses", "moss")
-    assert (counts.entries, counts.synonyms) == ((5, 3) if compiled else (3, 1))
+    assert (counts.entries, counts.synonyms) == ((5, 3 + 5) if compiled else (3, 1))  # forms, and a generated key of each entry
     assert [(r.query, r.word) for r in convert.look_up(spark, out, [plural, "nothing"]).collect()] == [(plural, base)]
     assert {r.word for r in convert.look_up(spark, out, ["FORET"], "goldendict-ng").collect()} == {"forêt"}
     stardict.register(spark)
@@ -146,6 +146,32 @@ def test_books_of_one_folder_are_looked_up_apart(spark, tmp_path):
     assert sorted((r["query"], r.word) for r in hits) == [("ALPHA", "alpha"), ("gammas", "gamma")] and len({r.book_id for r in hits}) == 2
 
 
+def test_links_and_images_of_a_compiled_book(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    ivy = b"<p>ivy climbs an <a href='#elm-1'>elm</a> <img recindex='00001'/></p>"
+    at = len(ivy)
+    elm = f"<p id='elm-1'>elm</p> <a filepos={0:010d}>ivy</a> and <a filepos={at:010d}>itself</a>".encode()
+    (tmp_path / "in/b").write_bytes(w.book(ivy + elm, [("ivy", 0, at), ("elm", at, len(elm))], images=[PNG]))
+    out = tmp_path / "out"
+    counts = convert.convert(spark, str(tmp_path / "in"), str(out)).first()
+    assert (counts.entries, counts.synonyms) == (2, 2 + 2 + 2)  # forms, generated keys, keys of two targets
+    book = next(out.iterdir())
+    assert (book / "res/image-000001.png").read_bytes() == PNG and [p.name for p in (book / "res").iterdir() if not p.name.startswith(".")] == ["image-000001.png"]
+    text = (book / "dictionary.dict").read_text()
+    key = lambda n: f"__glossa_{book.name}_entry_{n:016x}"
+    assert "<img src='image-000001.png'/>" in text and f"<a href='bword://{key(1)}#glo-pos-{at}'>elm</a>" in text and f"bword://{key(0)}#glo-pos-0>ivy" in text
+    found = convert.look_up(spark, str(out), [key(0), f"{key(1)}#glo-pos-{at}", "elms"]).collect()
+    assert sorted((r["query"], r.word) for r in found) == sorted([(key(0), "ivy"), (f"{key(1)}#glo-pos-{at}", "elm"), ("elms", "elm")])
+
+
+def test_a_link_without_a_target_refuses_the_book(spark, tmp_path):
+    text = b"<p>a <a href='#gone'>link</a></p>"
+    (tmp_path / "b").write_bytes(w.book(text, [("a", 0, len(text))]))
+    with pytest.raises(CheckFailed) as e:
+        convert.convert(spark, str(tmp_path), str(tmp_path / "out"))
+    assert e.value.exit_code == 5
+
+
 def test_conversion_refuses(spark, tmp_path):
     (tmp_path / "one").write_bytes(w.package({"wet/look/moss.png": None}))
     with pytest.raises(CheckFailed) as e:

@@ -2,49 +2,61 @@
 
 Symbols are words (A-Z in lower case) and one end for each text. The root has
 the add-half unigram distribution over all training words. A context of up to
-``DEPTH`` words is a state of the tree if it makes up at least ``P_MIN`` of
-the training words and its next-symbol distribution diverges from that of its
+``DEPTH`` words is a state of the tree if it occurs ``least`` times in the
+training text and its next-symbol distribution diverges from that of its
 longest retained suffix, by ``DIVERGENCE`` nats a symbol and ``EVIDENCE`` nats
 in all. A state gives discounted counts to the symbols that make up ``GAMMA``
 of what follows it, and leaves the rest of its mass to its suffix state,
 scaled to the symbols it does not name, so every state's distribution sums to
 one. A text is scored from the longest suffix state before each symbol.
 
-Counts cover all training text. Word counts are exact: each chunk of texts
-packs its distinct words by hash bucket, a bucket is summed in one place and
-the sums return to the chunks, so what is shuffled are distinct words of
-chunks and not occurrences. A second pass counts, exactly too, every next
-symbol of the contexts whose words each make up ``P_MIN``, as a context is no
-more frequent than its words; thresholds apply to the sums only, so neither
-states nor scores depend on how texts are cut into chunks. The tree has at most
-DEPTH / P_MIN states with 1 / GAMMA symbols each, whatever the input.
-
-Words are identified by 64-bit hashes. Defined cases: a null text is an empty
-one and has the end only; a null id counts as training; repeated rows are
-separate texts; a table without training rows gives every symbol the unknown
-symbol's probability; a very long text is a chunk of its own; an empty table
-gives no rows; other columns are ignored.
+Counts cover all training text and are exact. Texts are packed once into chunks
+of numbered words. Each chunk's distinct words go to a hash bucket, are summed
+there, and the sums return to the chunks, so what is shuffled are distinct words
+of chunks and not occurrences. Contexts are counted level by level: a context
+of d words is no more frequent than its first d - 1 words followed by its last,
+which the level before has counted, so only contexts that occur ``least`` times
+are counted at all, and each of those completely. Neither states nor scores
+depend on how texts are cut into chunks.
+
+``least`` is a share ``SHARE`` of the training words of a small corpus and
+grows with the root of a larger one, so the tree grows with the input: it has up
+to 2 * DEPTH / GROWTH times the root of the words as states, until ``STATES``
+contexts of each depth, which is what the driver and a worker are let hold.
+
+Words and contexts are identified by 64-bit hashes. Defined cases: a null text
+is an empty one and has the end only; a null id counts as training; repeated
+rows are separate texts; a table without training rows gives every symbol the
+unknown symbol's probability; a very long text is a chunk of its own; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm import text as tx
-from glossa.runtime import partitions, stage
+from glossa.runtime import partitions, stage, unstage
 
-DEPTH, P_MIN, GAMMA = 3, 2e-4, 0.01
+DEPTH, GAMMA = 3, 0.01
+SHARE, GROWTH, STATES = 2e-4, 0.5, 1_000_000
 DIVERGENCE, EVIDENCE, DISCOUNT = 0.01, 12.0, 0.5
-CHUNK_BYTES = 16 << 20
-#: Counts of contexts in a batch.
-PACK = 1 << 16
+#: Bytes of text in a chunk.
+CHUNK_BYTES = 8 << 20
 END = tx.xxh64_intdigest(b"")
-SCHEMA = "kind string, chunk long, bucket int, doc_id long, held_out boolean, n long, one binary, two binary, three binary"
-NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
-TYPES = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+CHUNK = "chunk long, docs array<long>, held binary, sizes binary, ids binary, names binary, counts binary"
+SUMS = "kind string, chunk long, n long, one binary, two binary"
+
+
+def least(total: int) -> int:
+    """How often a context has to occur among ``total`` training symbols."""
+    return max(2, math.ceil(max(min(SHARE * total, GROWTH * math.sqrt(total)), total / STATES)))
 
 
 class _Ids(dict):
@@ -53,114 +65,105 @@ class _Ids(dict):
         return n
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(NAMES)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, TYPES, strict=True)], NAMES)
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(cols, types, strict=True)], list(names))
 
 
-def _contexts(flat: np.ndarray, new: np.ndarray, vocab: np.ndarray, often: np.ndarray):
-    """Packs (depth, contexts, next symbols, counts) of all the chunk's contexts of words in ``often``."""
-    size = len(vocab)
-    use = np.isin(vocab, often)
-    use[0] = False
-    starts = np.flatnonzero(new)
-    state, names = np.where(use[flat], flat, -1), vocab[:, None]
-    for depth in range(1, DEPTH + 1):
-        before = np.concatenate([[-1], state[:-1]])
-        before[starts] = -1
-        at = np.flatnonzero(before >= 0)
-        if not len(at):
-            return
-        code, inverse, n = np.unique(before[at] * size + flat[at], return_inverse=True, return_counts=True)
-        ctx, nxt = np.divmod(code, size)
-        for i in range(0, len(code), PACK):
-            s = slice(i, i + PACK)
-            yield depth, names[ctx[s]].tobytes(), vocab[nxt[s]], n[s]
-        if depth == DEPTH:
-            return
-        names = np.concatenate([names[ctx], vocab[nxt][:, None]], axis=1)
-        state = np.full(len(flat), -1)
-        state[at] = np.where(use[flat[at]], inverse, -1)
-
-
-def _follow(often):
-    """Of rows (held_out, text), counts (ctx, nxt, n) of each chunk of training texts."""
+def _pack(batches):
+    """A row for each chunk of the texts (doc_id, held_out, text): its documents' numbered words, and their names."""
+    from pyspark import TaskContext
 
-    def run(batches):
-        for batch in batches:
-            texts = [t for t, h in zip(tx.texts(batch.column(1)), batch.column(0).to_pylist(), strict=True) if not h]
-            for i, j in tx.row_blocks(np.fromiter(map(len, texts), np.int64, len(texts)), CHUNK_BYTES):
-                vocab = _Ids({b"": 0})
-                docs = [np.fromiter(map(vocab.__getitem__, [*tx.words(t), b""]), np.int32) for t in texts[i:j]]
-                names = np.fromiter(map(tx.xxh64_intdigest, vocab), np.uint64, len(vocab))
-                flat = np.concatenate(docs).astype(np.int64)
-                new = np.zeros(len(flat), bool)
-                new[np.cumsum([0, *map(len, docs[:-1])])] = True
-                for depth, ctx, nxt, n in _contexts(flat, new, names, often.value):
-                    ends = pa.py_buffer((np.arange(len(n) + 1) * 8 * depth).astype("<i4").tobytes())
-                    ctx = pa.Array.from_buffers(pa.binary(), len(n), [None, ends, pa.py_buffer(ctx)])
-                    yield pa.RecordBatch.from_arrays([ctx, pa.array(nxt.view(np.int64)), pa.array(n.astype(np.int64))], ["ctx", "nxt", "n"])
+    chunk, size, vocab, docs = TaskContext.get().partitionId() << 32, 0, _Ids({b"": 0}), []
 
-    return run
+    def row():
+        names = np.fromiter(map(tx.xxh64_intdigest, vocab), np.uint64, len(vocab))
+        held = np.array([h for _, h, _ in docs], bool)
+        learn = [d for _, h, d in docs if not h]
+        counts = np.bincount(np.concatenate(learn) if learn else np.zeros(0, np.int64), minlength=len(vocab))
+        sizes = np.array([len(d) for *_, d in docs], "<i4")
+        return chunk, [i for i, *_ in docs], held.tobytes(), sizes.tobytes(), np.concatenate([d for *_, d in docs]).astype("<i4").tobytes(), names.tobytes(), counts.astype("<i4").tobytes()
 
+    for batch in batches:
+        for i, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), tx.texts(batch.column(2)), strict=True):
+            if docs and size + len(t) > CHUNK_BYTES:
+                yield _batch(CHUNK, [row()])
+                chunk, size, vocab, docs = chunk + 1, 0, _Ids({b"": 0}), []
+            docs.append((i, h, np.fromiter(map(vocab.__getitem__, [*tx.words(t), b""]), np.int32)))
+            size += len(t)
+    if docs:
+        yield _batch(CHUNK, [row()])
 
-def _count(buckets: int):
-    def run(batches):
-        from pyspark import TaskContext
 
-        chunk = TaskContext.get().partitionId() << 32
+def _numbers(value, kind: str) -> np.ndarray:
+    return np.frombuffer(bytes(value), kind)
+
+
+def _deal(buckets: int):
+    """The chunks' words (bucket, chunk, names, places, counts), those of a bucket together."""
+
+    def run(batches):
         for batch in batches:
-            ids, held, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), tx.texts(batch.column(2))
-            for i, j in tx.row_blocks(np.fromiter(map(len, texts), np.int64, len(texts)), CHUNK_BYTES):
-                vocab = _Ids({b"": 0})
-                docs = [np.fromiter(map(vocab.__getitem__, [*tx.words(t), b""]), np.int32) for t in texts[i:j]]
-                rows = [("d", chunk, None, ids[i + k], held[i + k], None, d.tobytes(), None, None) for k, d in enumerate(docs)]
-                learn = [d for d, h in zip(docs, held[i:j], strict=True) if not h]
-                names = np.fromiter(map(tx.xxh64_intdigest, vocab), np.uint64, len(vocab))
-                flat = np.concatenate(learn).astype(np.int64) if learn else np.zeros(0, np.int64)
-                counts = np.bincount(flat, minlength=len(vocab))
-                if learn:
-                    rows.append(("c", chunk, None, None, None, len(flat), b"", None, None))
-                order = np.argsort(names % np.uint64(buckets), kind="stable")
-                edges = np.searchsorted((names % np.uint64(buckets))[order], np.arange(buckets + 1, dtype=np.uint64))
-                for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                    if lo < hi:
-                        o = order[lo:hi]
-                        rows.append(("w", chunk, b, None, None, len(vocab), names[o].tobytes(), o.astype("<i4").tobytes(), counts[o].astype("<i4").tobytes()))
-                yield _batch(rows)
-                chunk += 1
+            for r in batch.to_pylist():
+                names, counts = _numbers(r["names"], np.uint64), _numbers(r["counts"], "<i4")
+                at = (names % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(at, kind="stable")
+                edges = np.searchsorted(at[order], np.arange(buckets + 1))
+                rows = [(b, r["chunk"], names[o].tobytes(), o.astype("<i4").tobytes(), counts[o].tobytes()) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if lo < hi for o in [order[lo:hi]]]
+                yield _batch("bucket long, chunk long, names binary, places binary, counts binary", rows)
 
     return run
 
 
-def _sum_words(symbols):
-    """Reads word rows in order of bucket; returns each chunk's global counts, the symbols' and the bucket's totals."""
+def _sum_words(batches):
+    """Reads the words in order of bucket; gives each bucket's totals (kind t) and what they are for each chunk (kind a)."""
 
     def bucket(rows):
-        names = [np.frombuffer(r["one"], np.uint64) for r in rows]
-        all_names, inverse = np.unique(np.concatenate(names), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate([np.frombuffer(r["three"], "<i4") for r in rows]), minlength=len(all_names)).astype(np.int64)
-        chosen = np.isin(all_names, symbols.value)
-        out = [("t", None, r["bucket"], None, None, int((total > 0).sum()), all_names[chosen].tobytes(), total[chosen].astype("<i8").tobytes(), None) for r in rows[:1]]
-        at = 0
-        for r, own in zip(rows, names, strict=True):
-            c = total[inverse[at : at + len(own)]]
-            at += len(own)
-            ours = np.isin(own, symbols.value)
-            place = np.frombuffer(r["two"], "<i4")
-            out.append(("a", r["chunk"], None, None, None, r["n"], r["two"], c.astype("<i8").tobytes(), np.concatenate([place[ours].astype("<i8").view(np.uint64), own[ours]]).tobytes()))
-        return _batch(out)
+        own = [_numbers(r["names"], np.uint64) for r in rows]
+        names, inverse = np.unique(np.concatenate(own), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate([_numbers(r["counts"], "<i4") for r in rows]), minlength=len(names)).astype("<i8")
+        out, at = [("t", None, int((total > 0).sum()), names.tobytes(), total.tobytes())], 0
+        for r, x in zip(rows, own, strict=True):
+            out.append(("a", r["chunk"], None, r["places"], total[inverse[at : at + len(x)]].tobytes()))
+            at += len(x)
+        return _batch(SUMS, out)
+
+    rows = []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if rows and rows[0]["bucket"] != r["bucket"]:
+                yield bucket(rows)
+                rows = []
+            rows.append(r)
+    if rows:
+        yield bucket(rows)
+
+
+def extend(context, name):
+    """Hash of a context (0 for none) with one more word after it."""
+    return tx.mix64(context * GOLDEN + name)
+
+
+def _follow(depth: int, shared):
+    """Of the chunks, counts (ctx, nxt, n) of what follows the contexts of ``depth`` words whose hashes are given, in order."""
 
     def run(batches):
-        rows = []
+        often = shared.value
         for batch in batches:
             for r in batch.to_pylist():
-                if rows and rows[0]["bucket"] != r["bucket"]:
-                    yield bucket(rows)
-                    rows = []
-                rows.append(r)
-        if rows:
-            yield bucket(rows)
+                names, sizes, flat = _numbers(r["names"], np.uint64), _numbers(r["sizes"], "<i4"), _numbers(r["ids"], "<i4")
+                inside = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                at = np.flatnonzero((inside >= depth) & ~np.repeat(_numbers(r["held"], bool), sizes))
+                state = np.zeros(len(at), np.uint64)
+                for back in range(depth, 0, -1):
+                    state = extend(state, names[flat[at - back]])
+                place = np.minimum(np.searchsorted(often, state), max(0, len(often) - 1))
+                met = often[place] == state if len(often) else np.zeros(len(at), bool)
+                code, n = np.unique(place[met] * len(names) + flat[at[met]], return_counts=True)
+                ctx, nxt = np.divmod(code, len(names))
+                yield pa.RecordBatch.from_arrays([pa.array(often[ctx].view(np.int64)), pa.array(names[nxt].view(np.int64)), pa.array(n)], ["ctx", "nxt", "n"])
 
     return run
 
@@ -195,7 +198,7 @@ class Tree:
         for ctx in sorted(contexts, key=lambda c: (len(c), c)):
             n, after = contexts[ctx]
             own = {w: (c - DISCOUNT) / n for w, c in after.items() if c >= GAMMA * n and w in base}
-            if n < P_MIN * total or not own:
+            if not own:
                 continue
             parent = suffix(ctx)
             above = {w: prob(parent, w) for w in own}
@@ -252,94 +255,115 @@ class Tree:
 
 
 def _score(model):
-    """Reads rows in order of chunk, words before texts."""
+    """Reads rows in order of chunk, its words' sums before its texts."""
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
-    def run(batches):
+    def texts(r, sums):
         tree: Tree = model.value
-        unknown = np.log10(0.5) - np.log10(tree.scale)
-        chunk, known, logs, sym = None, None, None, None
-        for batch in batches:
-            out, docs = [], []
-
-            def flush(docs, out, logs, known, sym):
-                if not docs:
-                    return
-                ids = [np.frombuffer(r["one"], np.int32) for r in docs]
-                for i, j in tx.row_blocks(np.fromiter(map(len, ids), np.int64, len(ids)), 1 << 19):
-                    flat = np.concatenate(ids[i:j])
-                    starts = np.cumsum([0, *map(len, ids[i : j - 1])])
-                    new = np.zeros(len(flat), bool)
-                    new[starts] = True
-                    base = np.add.reduceat(logs[flat], starts)
-                    more = np.add.reduceat(tree.gains(sym[flat], new), starts)
-                    have = np.add.reduceat(known[flat].astype(np.int64), starts)
-                    out += [(r["doc_id"], r["held_out"], len(x), h, b, b + g) for r, x, h, b, g in zip(docs[i:j], ids[i:j], have.tolist(), base.tolist(), more.tolist(), strict=True)]
+        names, sizes, flat = _numbers(r["names"], np.uint64), _numbers(r["sizes"], "<i4"), _numbers(r["ids"], "<i4")
+        logs, known = np.full(len(names), np.log10(0.5) - np.log10(tree.scale)), np.zeros(len(names), bool)
+        for places, totals in sums:
+            at, c = _numbers(places, "<i4"), _numbers(totals, "<i8")
+            logs[at], known[at] = np.log10(c + 0.5) - np.log10(tree.scale), c > 0
+        sym = Tree._find(tree.names, names)
+        held, end = _numbers(r["held"], bool).tolist(), np.cumsum(sizes)
+        for i, j in tx.row_blocks(sizes, 1 << 19):
+            own = flat[end[i] - sizes[i] : end[j - 1]]
+            starts = end[i:j] - sizes[i:j] - (end[i] - sizes[i])
+            new = np.zeros(len(own), bool)
+            new[starts] = True
+            base = np.add.reduceat(logs[own], starts)
+            more = np.add.reduceat(tree.gains(sym[own], new), starts)
+            have = np.add.reduceat(known[own].astype(np.int64), starts)
+            yield _batch(schema, list(zip(r["docs"][i:j], held[i:j], sizes[i:j].tolist(), have.tolist(), base.tolist(), (base + more).tolist(), strict=True)))
 
+    def run(batches):
+        chunk, sums = None, []
+        for batch in batches:
             for r in batch.to_pylist():
                 if r["chunk"] != chunk:
-                    flush(docs, out, logs, known, sym)
-                    docs = []
-                    chunk, size = r["chunk"], r["n"]
-                    logs, known, sym = np.full(size, unknown), np.zeros(size, bool), np.full(size, -1, np.int64)
+                    chunk, sums = r["chunk"], []
                 if r["kind"] == "a":
-                    at, c = np.frombuffer(r["one"], "<i4"), np.frombuffer(r["two"], "<i8")
-                    logs[at], known[at] = np.log10(c + 0.5) - np.log10(tree.scale), c > 0
-                    place, names = np.split(np.frombuffer(r["three"], np.uint64), 2)
-                    number = np.searchsorted(tree.names, names)
-                    ok = number < len(tree.names)
-                    ok[ok] = tree.names[number[ok]] == names[ok]
-                    sym[place[ok].astype(np.int64)] = number[ok]
+                    sums.append((r["one"], r["two"]))
                 else:
-                    docs.append(r)
-            flush(docs, out, logs, known, sym)
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                    yield from texts(r, sums)
 
-    return run
+    return run, schema
+
+
+def _hashes(df: DataFrame, *columns: str) -> list[np.ndarray]:
+    """Columns of a small table as arrays, 64-bit hashes as unsigned numbers."""
+    table = df.select(*columns).toArrow()
+    return [c.to_numpy().view(np.uint64) if name != "n" and name != "m" else c.to_numpy() for name, c in zip(columns, table.columns, strict=True)]
 
 
-def _gather(staged: DataFrame, rows: DataFrame) -> tuple[dict, int]:
-    """Contexts with at least P_MIN of all training symbols, and the number of those."""
-    spark = staged.sparkSession
-    total = staged.where("kind = 'c'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def _words(summed: DataFrame, condition) -> dict[int, int]:
+    """Training counts of the words that the condition on (names, totals) takes."""
 
-    def spread(batches):
+    def run(batches):
         for batch in batches:
-            for one, three in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(one, np.int64)), pa.array(np.frombuffer(three, "<i4").astype(np.int64))], ["word", "n"])
-
-    words = staged.where("kind = 'w'").select("one", "three").mapInArrow(spread, "word long, n long").where("n > 0")
-    often = words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= P_MIN * total).select("word").collect()  # at most 1 / P_MIN
-    shared = spark.sparkContext.broadcast(np.array([r.word & tx.MASK64 for r in often], np.uint64))
-    flat = rows.select("held_out", "text").mapInArrow(_follow(shared), "ctx binary, nxt long, n long")
-    sums = stage(flat.groupBy("ctx", "nxt").agg(F.sum("n").alias("n")), "contexts")
-    held = sums.groupBy("ctx").agg(F.sum("n").alias("m")).where(F.col("m") >= P_MIN * total)
-    found = sums.join(held, "ctx").where(F.col("n") >= GAMMA * F.col("m"))
+            for one, two in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                names, totals = _numbers(one, np.uint64), _numbers(two, "<i8")
+                ok = condition(names, totals)
+                yield pa.RecordBatch.from_arrays([pa.array(names[ok].view(np.int64)), pa.array(totals[ok])], ["word", "n"])
+
+    words, n = _hashes(tx.arrow_map(summed.where("kind = 't'").select("one", "two"), run, "word long, n long"), "word", "n")
+    return dict(zip(words.tolist(), n.tolist(), strict=True))
+
+
+def _total(chunks: DataFrame) -> int:
+    """Number of training symbols."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([int(_numbers(c, "<i4").sum(dtype=np.int64)) for c in batch.column(0).to_pylist()], pa.int64())], ["n"])
+
+    return tx.arrow_map(chunks.select("counts"), run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _gather(chunks: DataFrame, summed: DataFrame, total: int) -> dict:
+    """Contexts that occur ``least`` times, with their count and the symbols that make up GAMMA of what follows."""
+    bound, spark = least(total), chunks.sparkSession
+    words = _words(summed, lambda names, totals: (totals >= bound) & (names != np.uint64(END)))
+    often = {int(extend(np.zeros(1, np.uint64), np.array([w], np.uint64))[0]): ((w,), n) for w, n in words.items()}
     contexts: dict = {}
-    for r in found.collect():  # at most DEPTH / P_MIN contexts with 1 / GAMMA symbols
-        ctx = tuple(np.frombuffer(bytes(r.ctx), np.uint64).tolist())
-        contexts.setdefault(ctx, (r.m, {}))[1][r.nxt & tx.MASK64] = r.n
-    return contexts, total
+    for depth in range(1, DEPTH + 1):
+        if not often:
+            break
+        shared = spark.sparkContext.broadcast(np.array(sorted(often), np.uint64))
+        flat = tx.arrow_map(chunks.select("held", "sizes", "ids", "names"), _follow(depth, shared), "ctx long, nxt long, n long")
+        sums = stage(flat.groupBy("ctx", "nxt").agg(F.sum("n").alias("n")), "contexts")
+        held = sums.groupBy("ctx").agg(F.sum("n").alias("m"))
+        for c, w, n in zip(*(x.tolist() for x in _hashes(sums.join(held, "ctx").where(F.col("n") >= GAMMA * F.col("m")), "ctx", "nxt", "n")), strict=True):
+            name, m = often[c]
+            contexts.setdefault(name, (m, {}))[1][w] = n
+        if depth < DEPTH:
+            ctx, nxt, n = _hashes(sums.where((F.col("n") >= bound) & (F.col("nxt") != END - (1 << 64) * (END >> 63))), "ctx", "nxt", "n")
+            often = {h: ((*often[c][0], w), k) for h, c, w, k in zip(extend(ctx, nxt).tolist(), ctx.tolist(), nxt.tolist(), n.tolist(), strict=True)}
+        unstage(sums)
+        shared.unpersist()
+    return contexts
 
 
 def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; learns from rows not held out."""
     spark = docs.sparkSession
-    buckets = 4 * partitions(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    staged = stage(rows.mapInArrow(_count(buckets), SCHEMA), "words")
-    contexts, total = _gather(staged, rows)
-    symbols = {END} | {h for c, (_, after) in contexts.items() for h in (*c, *after)}
-    shared = spark.sparkContext.broadcast(np.array(sorted(symbols), np.uint64))
-    words = staged.where("kind = 'w'").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    summed = stage(words.mapInArrow(_sum_words(shared), SCHEMA), "counts")
-    counts, distinct = {h: 0 for h in symbols}, 0
-    for r in summed.where("kind = 't'").select("n", "one", "two").collect():  # a row for each bucket
-        distinct += r.n
-        counts |= zip(np.frombuffer(bytes(r.one), np.uint64).tolist(), np.frombuffer(bytes(r.two), "<i8").tolist(), strict=True)
+    chunks = stage(tx.arrow_map(rows, _pack, CHUNK), "chunks")
+    words = tx.arrow_map(chunks.select("chunk", "names", "counts"), _deal(4 * partitions(spark)), "bucket long, chunk long, names binary, places binary, counts binary")
+    dealt = words.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "chunk")
+    summed = stage(tx.arrow_map(dealt, _sum_words, SUMS), "sums")
+    of = summed.where("kind = 't'")
+    distinct = of.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total = _total(chunks)
+    contexts = _gather(chunks, summed, total)
+    symbols = np.array(sorted({END} | {h for c, (_, after) in contexts.items() for h in (*c, *after)}), np.uint64)
+    shared = spark.sparkContext.broadcast(symbols)
+    counts = dict.fromkeys(symbols.tolist(), 0) | _words(summed, lambda names, totals: np.isin(names, shared.value))
     model = spark.sparkContext.broadcast(Tree(contexts, counts, total, distinct))
-    both = staged.where("kind = 'd'").unionByName(summed.where("kind = 'a'"))
+    sums = summed.where("kind = 'a'").select("kind", "chunk", "one", "two")
+    both = chunks.drop("counts").withColumn("kind", F.lit("d")).unionByName(sums, allowMissingColumns=True)
+    run, schema = _score(model)
     runs = both.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "kind")
-    out = runs.mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = tx.arrow_map(runs, run, schema)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

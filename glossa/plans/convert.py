@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,30 +53,47 @@ def refuse(bad: DataFrame) -> None:
         raise CheckFailed(r.code, f"{r.check} {r.key}")
 
 
+def _from_packages(archives: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, aliases, titles) of source packages."""
+    package = stage(packages.files(archives), "package")
+    tables = packages.book(package)
+    refuse(packages.reference_failures(package, tables))
+    return *packages.catalog_items(package, tables), packages.spine(package).groupBy("book_id").agg(F.max("title").alias("title"))
+
+
+def _from_compiled(files: DataFrame, out: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, aliases, titles) of compiled books; their images are written below ``out``."""
+    tables = compiled_tables(files)
+    for r in tables["errors"].limit(1).collect():
+        raise CheckFailed(r.code, r.message)
+    made = compiled_items(tables)
+    stardict.write_resources(tables["resources"].select("book_id", "file", "content"), out)
+    return *made, tables["books"].select("book_id", "title")
+
+
 def convert(spark: SparkSession, path: str, out: str, backend: str = "auto") -> DataFrame:
     """Write a dictionary for each book below ``path`` and read it back; a row for each book with its counts.
 
-    ``auto`` takes archives (.zip, .epub) as source packages and other files
-    as compiled books. A failed check raises ``CheckFailed``.
+    ``auto`` takes each file by itself: an archive (.zip, .epub), or a compiled
+    book that holds one, as a source package, and other files as compiled books;
+    ``srcs`` refuses files without a package, and ``compiled`` reads no package.
+    A failed check raises ``CheckFailed``.
     """
     files, refused = books.read_files(spark, path)
     if refused.limit(1).count():
         raise CheckFailed("LIMIT", "an input file is too large")
-    zipped = F.hex(F.substring("content", 1, 4)) == "504B0304"
-    if backend == "srcs" or (backend == "auto" and files.where(zipped).limit(1).count()):
-        package = stage(packages.files(files.where(zipped)), "package")
-        tables = packages.book(package)
-        refuse(packages.reference_failures(package, tables))
-        items, aliases = packages.catalog_items(package, tables)
-        titles = packages.spine(package).groupBy("book_id").agg(F.max("title").alias("title"))
-    else:
-        tables = compiled_tables(files)
-        bad = tables["errors"].limit(1).collect()
-        if bad:
-            raise CheckFailed(bad[0].code, bad[0].message)
-        items, aliases = compiled_items(tables)
-        titles = tables["books"].select("book_id", "title")
-        stardict.write_resources(tables["resources"].select("book_id", "file", "content"), out)
+    parts, plain = [], files
+    if backend != "compiled":
+        held = stage(books.archives(files), "archives")
+        bare = held.where("archive IS NULL").select("path")
+        if backend == "srcs" and bare.limit(1).count():
+            raise CheckFailed("INCOMPLETE", f"{bare.first().path} holds no source package")
+        plain = files.join(bare, "path", "left_semi")
+        if held.where("archive IS NOT NULL").limit(1).count():
+            parts.append(_from_packages(held.where("archive IS NOT NULL").select(F.col("archive").alias("content"))))
+    if not parts or plain.limit(1).count():
+        parts.append(_from_compiled(plain, out))
+    items, aliases, titles = (reduce(DataFrame.unionByName, p) for p in zip(*parts, strict=True))
     items = stage(items, "items")
     written = stage(stardict.write(items, aliases, out, titles.withColumn("title", title_or_label(F.col("title"), F.lit("en")))), "written")
     wrong = verify(spark, out, items).limit(1).collect()

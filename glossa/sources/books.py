@@ -202,6 +202,29 @@ def source_archive(data: list[bytes]) -> tuple[int, bytes] | None:
     return found[0] if found else None
 
 
+def archives(files: DataFrame) -> DataFrame:
+    """(path, archive) of files (path, content): an archive itself, or the source package that a compiled book holds, else null.
+
+    Files that are no books have none; what is wrong with them is found when they are scanned.
+    """
+
+    def one(content: bytes) -> bytes | None:
+        if content[:4] == b"PK\x03\x04":
+            return content
+        try:
+            found = source_archive([content[a:b] for a, b in records(content)])
+        except k.BookError:
+            return None
+        return found[1] if found else None
+
+    def run(batches):
+        for batch in batches:
+            held = [one(c or b"") for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], ["path", "archive"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, archive binary")
+
+
 SCHEMAS = {
     "books": "title string, authors array<string>, version long, compression long, encoding long, records long, text_bytes long, refused string",
     "records": "record long, start long, end long, role string, sha256 string",

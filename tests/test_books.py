@@ -164,6 +164,21 @@ def test_links_and_images_of_a_compiled_book(spark, tmp_path):
     assert sorted((r["query"], r.word) for r in found) == sorted([(key(0), "ivy"), (f"{key(1)}#glo-pos-{at}", "elm"), ("elms", "elm")])
 
 
+def test_files_of_both_kinds_and_embedded_packages(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    held = w.book(TEXT, ENTRIES, images=[PNG, b"SRCS" + bytes(12) + w.package({"wet/look/plain.css": "h3 {}"})])
+    for name, content in (("a.zip", w.package()), ("b", w.book(TEXT, ENTRIES)), ("c", held)):
+        (tmp_path / "in" / name).write_bytes(content)
+    counts = sorted((r.entries, r.synonyms) for r in convert.convert(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect())
+    assert counts == [(3, 1), (3, 1), (5, 8)]
+    with pytest.raises(CheckFailed):
+        convert.convert(spark, str(tmp_path / "in"), str(tmp_path / "none"), "srcs")
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one/c").write_bytes(held)
+    both = [convert.convert(spark, str(tmp_path / "one"), str(tmp_path / kind), kind).first().entries for kind in ("srcs", "compiled")]
+    assert both == [3, 5]
+
+
 def test_a_link_without_a_target_refuses_the_book(spark, tmp_path):
     text = b"<p>a <a href='#gone'>link</a></p>"
     (tmp_path / "b").write_bytes(w.book(text, [("a", 0, len(text))]))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossa.llm import text as tx
-from glossa.runtime import stage
+from glossa.runtime import stage, unstage
 
 BLOCK, SHARD, SEED = 256, 1024, 77
 MAX_REPEATS, MAX_SOURCES = 3, 1_000_000
@@ -159,6 +159,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     rows = sized.join(F.broadcast(sources.select("sid", F.col("source").alias("__src"))), F.col("source").eqNullSafe(F.col("__src"))).drop("__src", "source")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
     placed = stage(_running(rows, ["sid"], "bucket", ["doc_id", "size", "print"], "size", "start").drop("bucket"), "placed")
+    unstage(sized)
     plan = Plan(sizes, goal)
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK))))
     drawn = _slots(spark, plan)

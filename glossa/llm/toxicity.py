@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from glossa.llm import text as tx
 from glossa.runtime import stage, unstage
 
-SAMPLE, LEXICON, MIN_DOCS, MIN_Z, MIN_ODDS = 2000, 256, 3, 4.5, 3.0
+#: ``MIN_Z`` and ``MIN_ODDS`` choose the lexicon; ``LEXICON`` only keeps its numbers within 16 bits.
+SAMPLE, LEXICON, MIN_DOCS, MIN_Z, MIN_ODDS = 2000, 30_000, 3, 4.5, 3.0
 WINDOW, STEPS, RATE, PENALTY = 48, 150, 0.5, 1e-4
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _TOKEN = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]+")

@@ -6,12 +6,14 @@ so that a query that found nothing would not match its SQL.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from glossa.functions import codecs, readers, urls, words
 from glossa.operators import bundle, crosscheck, intervals, markup, multiset
-from glossa.plans.catalogue import SQL_ITEMS, asked, query
-from glossa.runtime import table
+from glossa.plans.catalogue import SQL_ITEMS, asked, heads, query
+from glossa.runtime import stage, table
+from glossa.sources import books, pack
 
 ASKED = f"WITH {SQL_ITEMS}"
 
@@ -268,3 +270,63 @@ def run_fonts(spark, sf):
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
     script = F.when(k % 3 == 0, "cjk").when(k % 3 == 1, "symbol").otherwise("latin")
     return table(spark, sf, "supplier").select(k.alias("suppkey"), readers.font_for(script, n % 2 == 0, n % 5 == 0, k % 7 == 0).alias("font"))
+
+
+def packed(spark, sf):
+    """(path, content): compiled books of the headwords of a hundred documents each, a paragraph for each between a title and an end."""
+    group = F.expr("id div 100")
+    words_of = heads(spark, sf).groupBy(group.alias("title")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "word"))), lambda x: x.word).alias("words"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for title, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text, entries = f"<h1>{title}</h1>".encode(), []
+                for w in own:
+                    part = f"<p>{w}</p>".encode()
+                    entries.append((w, len(text), len(part)))
+                    text += part
+                out.append(pack.book(text + b"<hr/>", entries, 1 + title % 2, title=f"B{title}", block=4096))
+            yield pa.RecordBatch.from_arrays([pa.array([f"b{t}" for t in batch.column(0).to_pylist()]), pa.array(out, pa.binary())], ["path", "content"])
+
+    return stage(words_of.mapInArrow(run, "path string, content binary"), "packed")
+
+
+def _titled(files, what, *columns):
+    return books.scan(files, what).join(books.scan(files, "books").select("book_id", "title"), "book_id").select("title", *columns)
+
+
+SQL_PACKED = f"""{ASKED}, p AS (SELECT id // 100 AS g, id, word, '<p>' || word || '</p>' AS part FROM heads),
+e AS (SELECT 'B' || g AS title, g, (row_number() OVER (PARTITION BY g ORDER BY id) - 1)::BIGINT AS id, word, part,
+  (strlen('<h1>' || g || '</h1>') + coalesce(sum(strlen(part)) OVER (PARTITION BY g ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS s FROM p),
+t AS (SELECT title, g, '<h1>' || g || '</h1>' || string_agg(part, '' ORDER BY id) || '<hr/>' AS text, count(*)::BIGINT AS n, max(s + strlen(part))::BIGINT AS last FROM e GROUP BY 1, 2)"""
+
+
+@query(f"{SQL_PACKED} SELECT title, id, word AS headword, s AS \"start\", s + strlen(part)::BIGINT AS \"end\" FROM e")
+def packed_entries(spark, sf):
+    return _titled(packed(spark, sf), "entries", "id", "headword", "start", "end")
+
+
+@query(f"{SQL_PACKED} SELECT title, strlen(text)::BIGINT AS text_bytes, sha256(text) AS text_sha, 1::BIGINT + g % 2 AS compression FROM t")
+def packed_texts(spark, sf):
+    files = packed(spark, sf)
+    facts = books.scan(files, "books").select("book_id", "title", "compression", "text_bytes")
+    return books.scan(files, "texts").join(facts, "book_id").select("title", "text_bytes", F.sha2("text", 256).alias("text_sha"), "compression")
+
+
+@query(f"{SQL_PACKED} SELECT title, id, word || 's' AS word, 'plural' AS group_name FROM e")
+def packed_forms(spark, sf):
+    return _titled(packed(spark, sf), "aliases", "id", "word", "group_name")
+
+
+@query(f"{SQL_PACKED} SELECT title, n AS id, 'supplement 1' AS headword, 0::BIGINT AS \"start\", strlen('<h1>' || g || '</h1>')::BIGINT AS \"end\" FROM t UNION ALL SELECT title, n + 1, 'supplement 2', last, strlen(text)::BIGINT FROM t")
+def packed_supplements(spark, sf):
+    files = packed(spark, sf)
+    full = books.with_supplements(books.scan(files, "entries"), books.scan(files, "texts")).where("kind = 'supplement'")
+    return full.join(books.scan(files, "books").select("book_id", "title"), "book_id").select("title", "id", "headword", "start", "end")
+
+
+@query(f"{SQL_PACKED} SELECT title, CASE WHEN n < 0 THEN NULL ELSE 'text' END AS role, (strlen(text) + 4095)::BIGINT // 4096 AS n FROM t")
+def packed_records(spark, sf):
+    found = _titled(packed(spark, sf), "records", "role").where("role = 'text'")
+    return found.groupBy("title", "role").agg(F.count(F.lit(1)).alias("n"))

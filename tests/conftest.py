@@ -7,6 +7,8 @@ HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, HERE)
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (HERE, os.environ.get("PYTHONPATH"))))
 
+import glossa.plans.kernels  # noqa: E402, F401  (completes the registry of queries that test_queries runs)
+
 SF = "/root/testdata/sf0.001"
 
 

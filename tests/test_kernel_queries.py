@@ -1,17 +1,8 @@
-"""Every query of kernels and checks against its SQL on the smallest tables, by the comparison of ``test_queries``."""
-
-import pytest
+"""The queries of kernels and checks are registered, each with SQL; ``test_queries`` runs them like all others."""
 
 from glossa.plans import catalogue, kernels
-from tests.test_queries import rows
-
-NAMES = sorted(k for k, f in catalogue.QUERIES.items() if f.__module__ == kernels.__name__)
 
-@pytest.mark.parametrize("name", NAMES)
-def test_query(spark, sf, duck, name):
-    got, want = catalogue.QUERIES[name](spark, sf).toPandas(), duck.sql(catalogue.ORACLES[name]).df()
-    assert sorted(got.columns) == sorted(want.columns) and len(got) > 0
-    assert rows(got) == rows(want)
 
-def test_there_are_queries():
-    assert len(NAMES) > 30
+def test_every_kernel_query_has_sql():
+    names = [k for k, f in catalogue.QUERIES.items() if f.__module__ == kernels.__name__]
+    assert len(names) > 35 and all(catalogue.ORACLES.get(k) for k in names)

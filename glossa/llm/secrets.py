@@ -27,10 +27,8 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from glossa.llm import text as tx
 from glossa.runtime import stage
@@ -91,15 +89,14 @@ SPAN = pa.struct([("start", pa.int64()), ("ord", pa.int32()), ("end", pa.int64()
 
 def _scan(batches):
     for batch in batches:
-        spans, digest, prints, counts = [], [], [], []
-        for t in tx.texts(batch.column(2)):
+        spans, digest, counts = [], [], []
+        for t in tx.texts(batch.column(3)):
             base = base_spans(t)
             spans.append([{"start": s, "ord": KINDS.index(k), "end": e, "kind": k, "hash": hashlib.sha256(v.encode()).hexdigest(), "live": (base_looks_live if k in BASE else looks_live)(v)} for s, e, k, v in base + further_spans(t, base)])
             digest.append(hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k, _ in base).encode()).hexdigest())
-            prints.append(xxhash.xxh64_intdigest(t.encode()) - (1 << 63))
             counts.append(Counter(x[2] for x in base))
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:2], pa.array(prints, pa.int64()), *(pa.array([c[k] for c in counts], pa.int64()) for k in BASE), pa.array(digest, pa.string()), pa.array(spans, pa.list_(SPAN))],
+            [*batch.columns[:3], *(pa.array([c[k] for c in counts], pa.int64()) for k in BASE), pa.array(digest, pa.string()), pa.array(spans, pa.list_(SPAN))],
             ["repo", "owner", "print", *(f"n_{k}" for k in BASE), "base_sha256", "found"],
         )
 
@@ -107,8 +104,9 @@ def _scan(batches):
 def scan(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str = "source") -> DataFrame:
     """Every row's candidates, without its text."""
     repo_type, owner_type = (docs.schema[c].dataType.simpleString() for c in (repo, owner))
-    return docs.select(F.col(repo).alias("repo"), F.col(owner).alias("owner"), F.col(text).alias("text")).mapInArrow(
-        _scan, f"repo {repo_type}, owner {owner_type}, print long, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:long,ord:int,end:long,kind:string,hash:string,live:boolean>>"
+    rows = docs.select(F.col(repo).alias("repo"), F.col(owner).alias("owner"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
+    return tx.arrow_map(
+        rows, _scan, f"repo {repo_type}, owner {owner_type}, print long, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:long,ord:int,end:long,kind:string,hash:string,live:boolean>>"
     )
 
 
@@ -148,38 +146,27 @@ def spans_text(col) -> F.Column:
 def redact(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str = "source", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every owner-specific span of ``text`` replaced by ``mark``; no row is dropped.
 
-    Where a row has no such span its text stays as it is. ``n_chars``, if
-    there is one, follows the new text.
+    Where a row has no such span it stays as it is, and all but a few of these
+    rows are not shuffled (``sifted``). ``n_chars``, if there is one, follows the new
+    text. Other columns may have any name that does not begin with ``__``.
     """
-    found = find(docs, text, repo, owner).where("size(specific) > 0").select(F.col("doc_id").alias("__r"), F.col("print").alias("__p"), "specific").dropDuplicates(["__r", "__p"])
-    size = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
-
-    @F.pandas_udf(T.LongType())
-    def printed(t):
-        return t.map(lambda s: xxhash.xxh64_intdigest((s or "").encode()) - (1 << 63))
-
-    @F.pandas_udf(T.StringType())
-    def cleaned(t, spans):
-        def one(s, found):
-            for a, b in reversed(_merged(found)):
-                s = s[:a] + mark + s[b:]
-            return s
-
-        return t.combine(spans, lambda s, f: s if f is None else one(s or "", f))
-
-    keyed = docs.withColumn("__p0", printed(text))
-    both = keyed.join(found, F.col(repo).eqNullSafe(F.col("__r")) & (F.col("__p0") == F.col("__p")), "left")
-    out = both.withColumn(text, cleaned(F.col(text), F.transform("specific", lambda c: F.array(c.start, c.end))))
-    if size is not None:
-        out = out.withColumn("n_chars", F.length(text).cast(size))
-    return out.select(*docs.columns)
-
-
-def _merged(spans) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((int(x[0]), int(x[1])) for x in spans):
-        if out and a < out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+    apart = find(docs, text, repo, owner).where("size(specific) > 0").select(F.col("doc_id").alias("__repo"), F.col("print").alias("__print"), F.col("specific").alias("__specific"))
+    apart = stage(apart.dropDuplicates(["__repo", "__print"]), "redactions")
+    sifted = tx.sifted(docs.withColumn("__text_print", F.xxhash64(text)), "__text_print", apart, "__print")
+    rows = sifted.where("__maybe")
+    both = rows.join(apart, F.col(repo).eqNullSafe(F.col("__repo")) & (F.col("__text_print") == F.col("__print")), "left")
+    # from the last span to the first, so that offsets stay right; spans that overlap are one
+    merged = F.aggregate(F.array_sort("__specific"), F.array().cast("array<struct<start:long,end:long>>"), _merge)
+    clean = F.aggregate(merged, F.col(text), lambda t, c: F.concat(F.substring(t, F.lit(1), c.start.cast("int")), F.lit(mark), F.substring(t, (c.end + 1).cast("int"), F.length(t))))
+    out = both.withColumn(text, F.when(F.col("__specific").isNull(), F.col(text)).otherwise(clean))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__specific").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
+    return sifted.where("NOT __maybe").select(*docs.columns).unionByName(out.select(*docs.columns))
+
+
+def _merge(spans, c):
+    """Adds a span, in order of start, to merged ones of which the last comes first."""
+    last = F.get(spans, F.lit(0))
+    own = F.struct(c.start.alias("start"), c.end.alias("end"))
+    wider = F.struct(last.start.alias("start"), F.greatest(last.end, c.end).alias("end"))
+    return F.when(F.coalesce(c.start < last.end, F.lit(False)), F.concat(F.array(wider), F.slice(spans, F.lit(2), F.size(spans)))).otherwise(F.concat(F.array(own), spans))

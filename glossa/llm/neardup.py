@@ -15,13 +15,14 @@ compared like a small node, and the centres of a node, the ``CENTRES``
 documents with the largest share of likely links within their blocks, are
 compared with all of its documents that are not in their component yet.
 
-The documents of nodes that are still large at the last level are then joined
-exactly, whatever tree they met in: a linked pair shares a shingle among the
-rarest of either (the prefix filter), so those who share one and are in
-different components are compared. Where more than ``NODE`` share one, they
-are cut into blocks and every two blocks are compared, but for the blocks of
-the component that most of them are in; this is quadratic only in documents
-that share rare shingles and are not linked.
+Nodes that are still large at the last level are compared whole, too: their
+documents' minwise tokens in blocks of ``BLOCK``, every block with every other,
+but for documents of the component that most of them are in by now. Those that
+may be linked with one of another component are joined exactly: a linked pair
+shares a shingle among the rarest of either (the prefix filter), so those who
+share one and are in different components are compared, in blocks again where
+more than ``NODE`` share one. This is quadratic only in documents of dense nodes
+that are not linked; a group of copies meets as one component.
 
 A pair at the threshold may be parted at each level. Twelve trees miss one
 that has to meet at the last level with 6e-7 at 0.85 and 4e-6 at 0.8
@@ -42,7 +43,6 @@ one set; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +59,8 @@ COORDINATES, TREES, DEPTH, NODE, SEED = 64, 12, 3, 128, 5
 #: A linked pair with fewer equal coordinates than the cut has a chance below 1e-7.
 SLACK = 5.5
 CENTRES = 3
+#: Documents of a block of a node that stays large, and pairs of them that are compared at once.
+BLOCK, TILE = 2048, (256, 1024)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -155,66 +157,141 @@ def _cut(threshold: int) -> int:
     return math.floor(COORDINATES * t - SLACK * math.sqrt(COORDINATES * t * (1 - t)))
 
 
+def _whole_nodes(batches):
+    """The batches' columns as lists of Arrow arrays, cut where the first column changes; rows come in its order."""
+    held = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        node = batch.column(0).to_numpy(zero_copy_only=False)
+        cut = int(np.flatnonzero(node == node[-1])[0])  # where the last node begins
+        if held and held[-1].column(0)[0].as_py() == node[-1]:
+            held.append(batch)
+            continue
+        yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _column(table: pa.Table, k: int) -> pa.Array:
+    col = table.column(k)
+    return col.chunk(0) if col.num_chunks else pa.array([], col.type)
+
+
+def _pairs(node: np.ndarray, most: int = 1 << 16):
+    """All pairs (i, j) of rows of one node, rows being in order of node, in blocks."""
+    for d in range(1, len(node)):
+        at = np.flatnonzero(node[:-d] == node[d:])
+        if not len(at):
+            return
+        for lo in range(0, len(at), most):
+            yield at[lo : lo + most], at[lo : lo + most] + d
+
+
+def _parts(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least row that each of ``n`` rows is connected with by the edges (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return label
+
+
 def _likely(threshold: int):
-    """Reads rows (node, rep, sketch) in order of node.
+    """Reads rows (node, rep, sketch) in order of node and rep.
 
     Gives the sorted ids of each part of a node whose pairs may be linked, and
     each node's document with the most such pairs, with its share of them.
     """
     least = _cut(threshold)
 
-    def parts(name, reps, sketches, out):
-        reps, first = np.unique(np.array(reps, np.int64), return_index=True)
-        x = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, COORDINATES)[first]
-        equal = np.zeros((len(reps), len(reps)), np.uint8)
-        for c in range(COORDINATES):
-            equal += x[:, c, None] == x[None, :, c]
-        near, part = equal >= least, np.arange(len(reps))
-        while True:  # each takes the least index among its neighbours until none changes
-            low = np.where(near, part[None, :], len(reps)).min(axis=1)
-            if (low == part).all():
-                break
-            part = low
-        order = np.argsort(part, kind="stable")
-        for group in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-            if len(group) > 1:
-                out.append((name, reps[group].tolist(), None, None))
-        degree = near.sum(axis=1) - 1
-        best = int(degree.argmax())
-        if degree[best]:
-            out.append((name, None, int(reps[best]), float(degree[best] / (len(reps) - 1))))
-
-    def batch_of(rows):
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.float64()), strict=True)], ["node", "reps", "centre", "degree"])
+    def run(batches):
+        for table in _whole_nodes(batches):
+            node, rep = (_column(table, k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            if not len(node):
+                continue
+            first = np.concatenate([[True], (node[1:] != node[:-1]) | (rep[1:] != rep[:-1])])
+            node, rep, x = node[first], rep[first], _matrix(_column(table, 2))[first]
+            near = [(i[ok], j[ok]) for i, j in _pairs(node) if (ok := (x[i] == x[j]).sum(axis=1) >= least).any()]
+            if not near:
+                continue
+            a, b = (np.concatenate([e[k] for e in near]) for k in (0, 1))
+            part = _parts(len(node), a, b)
+            held = np.flatnonzero(np.bincount(part, minlength=len(node))[part] > 1)
+            held = held[np.argsort(part[held], kind="stable")]
+            edge = np.flatnonzero(np.concatenate([[True], part[held][1:] != part[held][:-1], [True]]))
+            degree = np.bincount(a, minlength=len(node)) + np.bincount(b, minlength=len(node))
+            start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
+            size = np.diff(start)
+            best = np.lexsort((np.arange(len(node)), -degree, np.repeat(np.arange(len(size)), size)))[start[:-1]]
+            best, size = best[degree[best] > 0], size[degree[best] > 0]
+            reps = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(rep[held]))
+            yield _row_batch(node[held[edge[:-1]]], reps, None, None)
+            yield _row_batch(node[best], None, rep[best], degree[best] / np.maximum(size - 1, 1))
+
+    return run
+
+
+def _apart(threshold: int):
+    """Reads rows (node, rep, comp, sketch) in order of node; gives the ids that may be linked with one of another component."""
+    least = _cut(threshold)
+
+    def hits(comp, x):
+        found = np.zeros(len(comp), bool)
+        for i in range(0, len(comp), TILE[0]):
+            a = slice(i, i + TILE[0])
+            for j in range(i - i % TILE[1], len(comp), TILE[1]):
+                b = slice(j, j + TILE[1])
+                other = comp[a, None] != comp[None, b]
+                if not other.any():
+                    continue
+                equal = np.zeros(other.shape, np.uint8)
+                for c in range(COORDINATES):
+                    equal += x[a, c, None] == x[None, b, c]
+                other &= equal >= least
+                found[a] |= other.any(axis=1)
+                found[b] |= other.any(axis=0)
+        return found
 
     def run(batches):
-        name, reps, sketches = None, [], []
-        for batch in batches:
-            out = []
-            for n, r, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if n != name:
-                    if len(reps) > 1:
-                        parts(name, reps, sketches, out)
-                    name, reps, sketches = n, [], []
-                reps.append(r)
-                sketches.append(k)
-            yield batch_of(out)
-        out = []
-        if len(reps) > 1:
-            parts(name, reps, sketches, out)
-        yield batch_of(out)
+        for table in _whole_nodes(batches):
+            node, rep, comp = (_column(table, k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1, 2))
+            if not len(node):
+                continue
+            x, edge = _matrix(_column(table, 3)), np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                order = lo + np.argsort(comp[lo:hi], kind="stable")
+                own = rep[order][hits(comp[order], x[order])]
+                yield pa.RecordBatch.from_arrays([pa.array(own)], ["rep"])
 
     return run
 
 
+def _row_batch(node, reps, centre, degree) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.float64())
+    cols = [pa.nulls(len(node), k) if c is None else c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip((node, reps, centre, degree), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(cols, ["node", "reps", "centre", "degree"])
+
+
+def _matrix(col: pa.Array) -> np.ndarray:
+    """The sketches of a binary column, a row each."""
+    at = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+    return np.frombuffer(col.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(col), COORDINATES)
+
+
 def _near_pairs(threshold: int):
     """Of rows (rep, centre, sketch, of_centre), the pairs that may be linked."""
     least = _cut(threshold)
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in (2, 3))
+            a, b = (_matrix(batch.column(c)) for c in (2, 3))
             yield batch.select([0, 1]).filter(pa.array((a == b).sum(axis=1) >= least))
 
     return run
@@ -223,46 +300,56 @@ def _near_pairs(threshold: int):
 def _compare(width: int, threshold: int):
     """Reads rows (node, rep, text) in order of node and rep; gives the links that connect each node's parts."""
 
-    def node(reps, texts, out):
-        at = [i for i in range(len(reps)) if i == 0 or reps[i] != reps[i - 1]]
-        if len(at) < 2:
-            return
-        flat, off = tx.shingles([tx.words(texts[i]) for i in at], width)
-        sets = [np.unique(flat[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
-        part = _linked(sets, threshold)
-        ids = [reps[i] for i in at]
-        out += [(ids[p], ids[i]) for i, p in enumerate(part.tolist()) if p != i]
+    def block(node, rep, texts):
+        flat, off = tx.shingles([tx.words(t) for t in texts], width)
+        owner = np.repeat(np.arange(len(texts)), np.diff(off))
+        order = np.lexsort((flat, owner))
+        flat, owner = flat[order], owner[order]
+        first = np.concatenate([[True], (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])])[: len(flat)]
+        flat, owner = flat[first], owner[first]
+        size = np.bincount(owner, minlength=len(texts))
+        start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
+        members, end = np.diff(start), np.cumsum(size)
+        two = start[:-1][members == 2]
+        # of the nodes of two documents all at once: shingles that stand twice in a node
+        place = np.repeat(np.arange(len(members)), members)
+        inside = np.repeat(members == 2, members)[owner]
+        at, values = place[owner[inside]], flat[inside]
+        order = np.lexsort((values, at))
+        at, values = at[order], values[order]
+        twice = (at[1:] == at[:-1]) & (values[1:] == values[:-1])
+        common = np.bincount(at[1:][twice], minlength=len(members))[members == 2]
+        linked = two[100 * common >= threshold * (size[two] + size[two + 1] - common)]
+        yield _edges(rep[linked], rep[linked + 1])
+        for k in np.flatnonzero(members > 2):
+            part = _linked([flat[end[i] - size[i] : end[i]] for i in range(start[k], start[k + 1])], threshold)
+            own = rep[start[k] : start[k + 1]]
+            yield _edges(own[part], own)
 
     def run(batches):
-        name, reps, texts = None, [], []
-        for batch in batches:
-            out = []
-            for n, r, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if n != name:
-                    if reps:
-                        node(reps, texts, out)
-                    name, reps, texts = n, [], []
-                reps.append(r)
-                texts.append(t or "")
-            yield _edges(out)
-        out = []
-        if reps:
-            node(reps, texts, out)
-        yield _edges(out)
+        for table in _whole_nodes(batches):
+            node, rep = (_column(table, k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            first = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (rep[1:] != rep[:-1])])[: len(node)])
+            node, rep, texts = node[first], rep[first], tx.texts(_column(table, 2).take(pa.array(first)))
+            start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])[: len(node)])
+            size = np.add.reduceat(np.fromiter(map(len, texts), np.int64, len(texts)), start) if len(texts) else start
+            stop = np.append(start, len(node))
+            for i, j in tx.row_blocks(size, tx.BLOCK_BYTES):
+                yield from block(node[stop[i] : stop[j]], rep[stop[i] : stop[j]], texts[stop[i] : stop[j]])
 
     return run
 
 
-def _edges(rows) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 2
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """The links (a, b) but for those of a document with itself."""
+    return pa.RecordBatch.from_arrays([pa.array(a[a != b], pa.int64()), pa.array(b[a != b], pa.int64())], ["a", "b"])
 
 
 def _compared(members: DataFrame, docs: DataFrame, width: int, threshold: int, label: str) -> DataFrame:
     """Links (a, b) within the nodes given as rows (node, rep)."""
     rows = members.hint("merge").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select("node", "rep", "text")
     runs = rows.repartition(partitions(docs.sparkSession), "node").sortWithinPartitions("node", "rep", "text")
-    return stage(runs.mapInArrow(_compare(width, threshold), "a long, b long"), label)
+    return stage(tx.arrow_map(runs, _compare(width, threshold), "a long, b long"), label)
 
 
 def _tokens(width: int):
@@ -283,26 +370,63 @@ def _tokens(width: int):
 def _sharing(rest: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
     """Of rows (rep, comp), nodes (reps) in which every linked pair of different ``comp`` meets, by the prefix filter."""
     texts = rest.select("rep").hint("merge").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").groupBy("rep").agg(F.min("text").alias("text"))
-    tokens = stage(texts.mapInArrow(_tokens(width), "rep long, token long"), "tokens")
+    tokens = stage(tx.arrow_map(texts, _tokens(width), "rep long, token long"), "tokens")
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     of = Window.partitionBy("rep")
     ranked = tokens.hint("merge").join(often, "token").withColumn("k", F.row_number().over(of.orderBy("df", "token"))).withColumn("n", F.count(F.lit(1)).over(of))
     prefix = ranked.where((F.col("df") > 1) & (F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1)).select("rep", "token")
     prefix = stage(prefix.hint("merge").join(rest, "rep").select("rep", "token", "comp"), "prefixes")
     unstage(tokens)
-    by = prefix.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-    shared = by.groupBy("token").agg(F.sum("k").alias("s"), F.max("k").alias("m"), F.max_by("comp", "k").alias("most")).where("s > m")
-    half = NODE // 2
-    inner, ours, others = F.col("comp") == F.col("most"), F.ceil(F.col("m") / half), F.ceil((F.col("s") - F.col("m")) / half)
-    block = F.pmod(F.xxhash64("rep"), F.when(inner, ours).otherwise(others))
+    met = prefix.hint("merge").join(_mixed(prefix, "token"), "token")
+    at = _cells(F.col("s"), F.col("m"), F.col("comp") == F.col("most"), "rep", NODE // 2)
+    placed = met.select("token", "rep", F.explode(at).alias("cell"))
+    return placed.groupBy("token", "cell").agg(F.sort_array(F.collect_set("rep")).alias("reps")).where("size(reps) > 1").select("reps").distinct()
+
+
+def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) with more edges (a, b): only the components that these connect are joined, as a smaller graph."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+    named = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).where("a <> b").distinct()
+    joined = connected_components(named).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels.select("node"), "node", "left_anti")
+    rows = labels.select("node", "component").unionByName(ends.select("node", F.col("node").alias("component")))
+    return stage(rows.join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component")), "labels")
+
+
+def _cells(stats_s, stats_m, inner, key, size: int):
+    """Cells in which a row meets all others of its group (s rows, m of the largest component) but those of that component, if it is of it.
+
+    The largest component's rows and the others are cut into blocks of
+    ``size``; every block of others meets every block.
+    """
+    ours, others = F.ceil(stats_m / size), F.ceil((stats_s - stats_m) / size)
+    block = F.pmod(F.xxhash64(key), F.when(inner, ours).otherwise(others))
 
     def cells(kind, count, of):
         return F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda j: F.xxhash64(F.lit(kind), *of(j)))
 
     across = F.when(inner, cells("m", others, lambda j: (j, block))).otherwise(F.concat(cells("m", ours, lambda j: (block, j)), cells("u", others, lambda j: (F.least(block, j), F.greatest(block, j)))))
-    at = F.when(F.col("s") <= NODE, F.array(F.lit(0).cast("long"))).otherwise(across)
-    placed = prefix.hint("merge").join(shared, "token").select("token", "rep", F.explode(at).alias("cell"))
-    return placed.groupBy("token", "cell").agg(F.sort_array(F.collect_set("rep")).alias("reps")).where("size(reps) > 1").select("reps").distinct()
+    return F.when(stats_s <= 2 * size, F.array(F.lit(0).cast("long"))).otherwise(across)
+
+
+def _mixed(rows: DataFrame, group: str) -> DataFrame:
+    """Of rows (group, rep, comp), the groups of several components: their size s, and the largest component and its size m."""
+    by = rows.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("k"))
+    return by.groupBy(group).agg(F.sum("k").alias("s"), F.max("k").alias("m"), F.max_by("comp", "k").alias("most")).where("s > m")
+
+
+def _open(large: DataFrame, labels: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
+    """(rep, comp) of the documents of large nodes (path, rep) whose sketch says that they may be linked with one of another component."""
+    spark = large.sparkSession
+    members = stage(large.join(labels, "rep", "left").select("path", "rep", F.coalesce("component", "rep").alias("comp")), "residual")
+    met = members.hint("merge").join(_mixed(members, "path"), "path")
+    at = _cells(F.col("s"), F.col("m"), F.col("comp") == F.col("most"), "rep", BLOCK)
+    rows = met.select("rep", "comp", F.explode(F.transform(at, lambda c: F.xxhash64("path", c))).alias("node")).hint("merge").join(sketches, "rep").select("node", "rep", "comp", "sketch")
+    rows = rows.repartition(partitions(spark), "node").sortWithinPartitions("node", "rep")
+    found = stage(tx.arrow_map(rows, _apart(threshold), "rep long"), "open")
+    rest = stage(found.distinct().join(members.select("rep", "comp").distinct(), "rep"), "rest")
+    unstage(members, found)
+    return rest
 
 
 def link(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -313,7 +437,7 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, text:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    base = stage(docs.mapInArrow(_sets(width), "doc_id long, n_shingles long, key binary, sig binary, sketch binary"), "sets")
+    base = stage(tx.arrow_map(docs, _sets(width), "doc_id long, n_shingles long, key binary, sig binary, sketch binary"), "sets")
     first = base.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
     rows = base.join(first, "key", "left").select("doc_id", "n_shingles", "rep", *(F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("sig", "sketch")))
     rows = stage(rows, "members")
@@ -322,7 +446,7 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, text:
     sketches = rows.where("sig IS NOT NULL").select("rep", "sketch")
     branching = 100 / threshold
 
-    held, level, nodes, larger, tree = [], 0, None, None, reps.mapInArrow(_branch(branching, 0), "rep long, path long")
+    held, level, nodes, larger, tree = [], 0, None, None, tx.arrow_map(reps, _branch(branching, 0), "rep long, path long")
     while True:
         drawn = stage(tree, "paths")
         sizes = drawn.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -339,37 +463,40 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, text:
         if level == DEPTH or not residual:
             break
         packed = large.groupBy("rep").agg(F.collect_set("path").alias("paths"))
-        tree = packed.join(reps, "rep").select("rep", "sig", "paths").mapInArrow(_branch(branching, level), "rep long, path long")
+        tree = tx.arrow_map(packed.join(reps, "rep").select("rep", "sig", "paths"), _branch(branching, level), "rep long, path long")
 
     listed = nodes.distinct().select(F.xxhash64("reps").alias("node"), F.explode("reps").alias("rep"))
     blocks = larger.select("path", "rep", F.xxhash64("path", F.pmod(F.xxhash64("rep", "path"), F.ceil(F.col("n") / NODE))).alias("node"))
     runs = listed.union(blocks.select("node", "rep")).hint("merge").join(sketches, "rep").select("node", "rep", "sketch").repartition(partitions(spark), "node").sortWithinPartitions("node", "rep")
-    likely = stage(runs.mapInArrow(_likely(threshold), "node long, reps array<long>, centre long, degree double"), "likely")
+    likely = stage(tx.arrow_map(runs, _likely(threshold), "node long, reps array<long>, centre long, degree double"), "likely")
     parts = likely.where("reps IS NOT NULL").select("reps").distinct().select(F.xxhash64("reps").alias("node"), F.explode("reps").alias("rep"))
     found = _compared(parts, docs, width, threshold, "links")
 
     labels = connected_components(found)
     best = likely.where("centre IS NOT NULL").join(blocks.select("path", "node").distinct(), "node")
     rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("degree"), "centre"))
-    centres = best.select("path", "centre", "degree").distinct().withColumn("k", rank).where(F.col("k") <= CENTRES).select("path", "centre")
-    own = labels.select(F.col("node").alias("rep"), F.col("component").alias("c1"))
     whose = labels.select(F.col("node").alias("centre"), F.col("component").alias("c2"))
-    pairs = larger.select("path", "rep").join(centres.join(whose, "centre", "left"), "path").where("rep <> centre").select("rep", "centre", "c2").distinct().join(own, "rep", "left")
-    apart = pairs.where("coalesce(c1, rep) <> coalesce(c2, centre)").select("rep", "centre")
+    top = best.select("path", "centre", "degree").distinct().withColumn("k", rank).where(F.col("k") <= CENTRES)
+    of_path = top.join(whose, "centre", "left").groupBy("path").agg(F.collect_list(F.struct("centre", F.coalesce("c2", "centre").alias("comp"))).alias("centres"))
+    # a row for each document, however many centres its nodes have; those of its own component need no comparison
+    own = labels.select(F.col("node").alias("rep"), F.col("component").alias("c1"))
+    to = larger.select("path", "rep").join(of_path, "path").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_set("centres"))).alias("centres")).join(own, "rep", "left")
+    open_ = F.filter("centres", lambda c: (c.comp != F.coalesce("c1", "rep")) & (c.centre != F.col("rep")))
+    apart = to.select("rep", F.explode(F.transform(open_, lambda c: c.centre)).alias("centre"))
     met = apart.hint("merge").join(sketches, "rep").join(sketches.select(F.col("rep").alias("centre"), F.col("sketch").alias("of_centre")), "centre")
-    near = stage(met.select("rep", "centre", "sketch", "of_centre").mapInArrow(_near_pairs(threshold), "rep long, centre long"), "centres")
+    near = stage(tx.arrow_map(met.select("rep", "centre", "sketch", "of_centre"), _near_pairs(threshold), "rep long, centre long"), "centres")
     both = near.select(F.xxhash64("rep", "centre").alias("node"), F.explode(F.array("rep", "centre")).alias("rep"))
     more = _compared(both, docs, width, threshold, "centres")
     found = [found, more]
-    labels = connected_components(found[0].union(more)).withColumnRenamed("node", "rep")
+    labels = _merged(labels, more).withColumnRenamed("node", "rep")
     if residual:
-        rest = large.select("rep").distinct().join(labels, "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"))
-        reps_of = stage(_sharing(stage(rest, "residual"), docs, width, threshold), "sharing")
+        rest = _open(large.select("path", "rep"), labels, sketches, threshold)
+        reps_of = stage(_sharing(rest, docs, width, threshold), "sharing")
         met = reps_of.select(F.xxhash64("reps").alias("node"), F.explode("reps").alias("rep")).hint("merge").join(sketches, "rep").select("node", "rep", "sketch")
-        last = stage(met.repartition(partitions(spark), "node").sortWithinPartitions("node", "rep").mapInArrow(_likely(threshold), "node long, reps array<long>, centre long, degree double"), "likely")
+        last = stage(tx.arrow_map(met.repartition(partitions(spark), "node").sortWithinPartitions("node", "rep"), _likely(threshold), "node long, reps array<long>, centre long, degree double"), "likely")
         parts = last.where("reps IS NOT NULL").select("reps").distinct().select(F.xxhash64("reps").alias("node"), F.explode("reps").alias("rep"))
         found.append(_compared(parts, docs, width, threshold, "residual"))
-        labels = connected_components(reduce(DataFrame.union, found)).withColumnRenamed("node", "rep")
+        labels = _merged(labels.withColumnRenamed("rep", "node"), found[-1]).withColumnRenamed("node", "rep")
         unstage(reps_of, last)
     unstage(*held, likely, near, *found)
     out = rows.drop("sig", "sketch").join(labels, "rep", "left")
@@ -378,9 +505,19 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, text:
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id."""
-    kept = link(docs, width, threshold, text, key).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    """``docs`` with one row of each component, the one with the smallest id (of several, that of the least text hash).
+
+    Rows with a null id all stay. Other columns may have any name that does
+    not begin with ``__``.
+    """
+    kept = link(docs, width, threshold, text, key).where("kept").groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__times"))
+    same = F.col(key).cast("long").eqNullSafe(F.col("__kept"))
+    if not kept.where("__kept IS NOT NULL AND __times > 1").limit(1).count():
+        return docs.join(kept, same, "left_semi")
+    first = F.row_number().over(Window.partitionBy("__kept").orderBy(F.xxhash64(text), text))
+    again = F.col("__kept").isNotNull() & (F.col("__times") > 1)
+    once = docs.join(kept.where(~again), same, "left_semi")
+    return once.unionByName(docs.join(kept.where(again), same).withColumn("__first", first).where("__first = 1").select(*docs.columns))
 
 
 def recall_at(similarity: float, threshold: int = THRESHOLD, level: int | None = None) -> float:

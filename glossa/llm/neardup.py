@@ -345,9 +345,15 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[a != b], pa.int64()), pa.array(b[a != b], pa.int64())], ["a", "b"])
 
 
+def _texts_of(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """``members`` with the text of their ``rep``; the texts of few other documents are shuffled (``tx.sifted``)."""
+    texts = tx.sifted(docs.select(F.col("doc_id").alias("rep"), "text"), "rep", members, "rep").where("__maybe").drop("__maybe")
+    return members.hint("merge").join(texts, "rep")
+
+
 def _compared(members: DataFrame, docs: DataFrame, width: int, threshold: int, label: str) -> DataFrame:
     """Links (a, b) within the nodes given as rows (node, rep)."""
-    rows = members.hint("merge").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select("node", "rep", "text")
+    rows = _texts_of(members, docs).select("node", "rep", "text")
     runs = rows.repartition(partitions(docs.sparkSession), "node").sortWithinPartitions("node", "rep", "text")
     return stage(tx.arrow_map(runs, _compare(width, threshold), "a long, b long"), label)
 
@@ -369,7 +375,7 @@ def _tokens(width: int):
 
 def _sharing(rest: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
     """Of rows (rep, comp), nodes (reps) in which every linked pair of different ``comp`` meets, by the prefix filter."""
-    texts = rest.select("rep").hint("merge").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").groupBy("rep").agg(F.min("text").alias("text"))
+    texts = _texts_of(rest.select("rep"), docs).groupBy("rep").agg(F.min("text").alias("text"))
     tokens = stage(tx.arrow_map(texts, _tokens(width), "rep long, token long"), "tokens")
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     of = Window.partitionBy("rep")
@@ -510,14 +516,17 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD,
     Rows with a null id all stay. Other columns may have any name that does
     not begin with ``__``.
     """
-    kept = link(docs, width, threshold, text, key).where("kept").groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__times"))
-    same = F.col(key).cast("long").eqNullSafe(F.col("__kept"))
-    if not kept.where("__kept IS NOT NULL AND __times > 1").limit(1).count():
-        return docs.join(kept, same, "left_semi")
-    first = F.row_number().over(Window.partitionBy("__kept").orderBy(F.xxhash64(text), text))
-    again = F.col("__kept").isNotNull() & (F.col("__times") > 1)
-    once = docs.join(kept.where(~again), same, "left_semi")
-    return once.unionByName(docs.join(kept.where(again), same).withColumn("__first", first).where("__first = 1").select(*docs.columns))
+    by_id = link(docs, width, threshold, text, key).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("__again"), F.count(F.lit(1)).alias("__times"))
+    # ids that go, and those of which one row of several stays; the rows of most others are not shuffled
+    marked = stage(by_id.where("NOT __again OR __times > 1").select("__id", "__again"), "marked")
+    rows = tx.sifted(docs.withColumn("__key", F.col(key).cast("long")), "__key", marked, "__id")
+    other = rows.where("__maybe").join(marked, F.col("__key") == F.col("__id"), "left_anti")
+    out = rows.where("NOT __maybe").select(*docs.columns).unionByName(other.select(*docs.columns))
+    if not marked.where("__again").limit(1).count():
+        return out
+    first = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64(text), text))
+    again = rows.where("__maybe").join(marked.where("__again"), F.col("__key") == F.col("__id")).withColumn("__first", first)
+    return out.unionByName(again.where("__first = 1").select(*docs.columns))
 
 
 def recall_at(similarity: float, threshold: int = THRESHOLD, level: int | None = None) -> float:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (tests, single machine).
 LOCAL_SHARED = "/tmp/checkpoints"
+#: Spark removes a query's shuffle files when the query ends; otherwise they stay until the driver collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,11 +26,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return a reader of it.
 
     The result has no lineage but the files, so a lost executor costs one
-    re-read and never a recomputation of what led here.
+    re-read and never a recomputation of what led here. Its shuffle files, which
+    nothing reads again, go when it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    was = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if was is None else spark.conf.set(SHUFFLE_CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from glossa.llm import langid, mixing, neardup, secrets
 from glossa.llm import text as tx
+from glossa.runtime import stage, unstage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CLASHING = ("turns", "nth", "specific", "score", "lang_pred", "print", "sid", "start", "size", "repo", "owner", "rep", "key", "kept", "component", "node", "key0")
@@ -79,6 +82,56 @@ def test_one_row_of_a_repeated_id_is_kept(spark):
     assert Counter(r.doc_id for r in out.collect()) == Counter({1: 1, 3: 1, None: 2})
 
 
+def test_an_id_with_a_copy_of_another_keeps_one_row(spark):
+    """Of id 5, a row that copies id 1 and one that does not; the only row without an id, which copies id 1, too."""
+    rows = [(1, "a b c d e f"), (5, "a b c d e f"), (5, "other words stand here now too"), (None, "a b c d e f")]
+    out = neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r.doc_id for r in out) == Counter({1: 1, 5: 1, None: 1})
+
+
+def shuffled(spark) -> int:
+    """Bytes of shuffle files written so far by this session's executors."""
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark):
+    """600 texts of 10 KB that are unlike one another, near copies of 5, and the bytes that one shuffle of all writes."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(1000)), "abc"[i % 3]) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " tail", "a") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    docs, before = stage(df, "long-texts"), shuffled(spark)
+    docs.repartition(4, "doc_id").write.format("noop").mode("overwrite").save()
+    yield docs, shuffled(spark) - before
+    unstage(docs)
+
+
+def test_dedup_shuffles_the_texts_of_few_documents(spark, long_texts):
+    docs, once = long_texts
+    before = shuffled(spark)
+    assert neardup.deduplicate(docs).select(F.sum(F.length("text")), F.count(F.lit(1))).collect()[0][1] == 600
+    assert shuffled(spark) - before < 0.5 * once
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def count():
+        files = disk.getAllFiles()
+        return sum("shuffle" in files.apply(i).getName() for i in range(files.size()))
+
+    before = count()
+    out = stage(spark.range(100_000).groupBy((F.col("id") % 9973).alias("k")).count(), "cleaned")
+    for _ in range(50):  # files are removed in the background
+        if count() <= before:
+            break
+        time.sleep(0.1)
+    assert count() <= before and out.count() == 9973
+    unstage(out)
+
+
 def test_languages_with_clashing_names_many_labels_and_ties(spark):
     rows = [(i, "the cat and the dog sat on the mat " * 3, "en") for i in range(20)] + [(100 + i, "der hund und die katze sind nicht hier " * 3, "de") for i in range(20)] + [(200 + i, "xyzzy plugh", f"l{i}") for i in range(100)]
     df = with_clashes(spark.createDataFrame(rows, "doc_id long, text string, lang string"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossa.llm import text as tx
-from glossa.runtime import stage, unstage
+from glossa.runtime import partitions, stage, unstage
 
 BLOCK, SHARD, SEED = 256, 1024, 77
 MAX_REPEATS, MAX_SOURCES = 3, 1_000_000
@@ -232,7 +232,7 @@ def sample(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
     # rows alike in id, source and text are numbered on either side, whether taken or not; any pairing of them is right
     alike = ["doc_id", "sid", "print"]
     nth = placed.where("size > 0").withColumn("nth", F.row_number().over(Window.partitionBy(*alike).orderBy("start")))
-    cuts = nth.join(per_doc, ["sid", "start"]).select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "sid", "print", "nth", "turns")))
+    cuts = nth.join(per_doc, ["sid", "start"]).groupBy(F.xxhash64(*alike).alias("__own")).agg(F.collect_list(F.struct(*alike, "nth", "turns")).alias("__cuts"))
     return _rows(docs, sources, cuts, text, key, source)
 
 
@@ -254,9 +254,13 @@ def _rows(docs: DataFrame, sources: DataFrame, cuts: DataFrame, text: str, key:
     rows = docs.withColumns({"__size": _size(text), "__own_print": F.xxhash64(text)})
     empty = rows.where("__size = 0").select(*docs.columns)
     full = rows.where("__size > 0").join(F.broadcast(names), F.col(source).eqNullSafe(F.col("__source")))
-    full = full.withColumn("__own_nth", F.row_number().over(Window.partitionBy(key, "__own_sid", "__own_print").orderBy(F.lit(0))))
-    met = F.col(key).eqNullSafe(F.col("__doc_id")) & (F.col("__own_sid") == F.col("__sid")) & (F.col("__own_print") == F.col("__print")) & (F.col("__own_nth") == F.col("__nth"))
-    taken = full.join(cuts, met).withColumn("__piece", F.explode(cut(F.col(text), F.transform("__turns", lambda x: F.transform(x, lambda c: F.array(c.lo, c.hi))))))
+    # texts are shuffled once: one hash of what tells documents apart deals them out for their numbers and for their cuts
+    alike = [F.col(key), F.col("__own_sid"), F.col("__own_print")]
+    full = full.withColumn("__own", F.xxhash64(*alike)).repartition(partitions(docs.sparkSession), "__own")
+    full = full.withColumn("__own_nth", F.row_number().over(Window.partitionBy("__own", *alike).orderBy(F.lit(0))))
+    own = F.filter("__cuts", lambda c: F.col(key).eqNullSafe(c.doc_id) & (c.sid == F.col("__own_sid")) & (c.print == F.col("__own_print")) & (c.nth == F.col("__own_nth")))
+    met = full.join(cuts.hint("merge"), "__own").withColumn("__turns", F.get(own, F.lit(0)).turns).where("__turns IS NOT NULL")
+    taken = met.withColumn("__piece", F.explode(cut(F.col(text), F.transform("__turns", lambda x: F.transform(x, lambda c: F.array(c.lo, c.hi))))))
     piece = {text: F.col("__piece")} | ({"n_chars": F.length("__piece").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return taken.select(*(piece.get(c, F.col(c)).alias(c) for c in docs.columns)).unionByName(empty)
 

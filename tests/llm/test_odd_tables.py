@@ -89,6 +89,20 @@ def test_an_id_with_a_copy_of_another_keeps_one_row(spark):
     assert Counter(r.doc_id for r in out) == Counter({1: 1, 5: 1, None: 1})
 
 
+def test_rows_alike_in_all_but_further_columns_are_mixed_each(spark):
+    """Rows of one id, source and text keep their own further columns, and another id's words stay its own."""
+    rows = [(i % 3 if i < 30 else i, "one two three four five" if i < 30 else f"w{i} " * 40, "a", f"row {i}") for i in range(60)]
+    rows += [(None, "null id here", None, "row 60"), (None, "null id here", None, "row 61")]
+    out = mixing.sample(spark.createDataFrame(rows, "doc_id long, text string, source string, note string").repartition(3)).collect()
+    of = {r[3]: r for r in rows}
+    have = Counter()
+    for r in out:
+        assert (r.doc_id, r.source) == (of[r.note][0], of[r.note][2]) and set(r.text.split()) <= set(of[r.note][1].split())
+        have[r.note] += len(r.text.split())
+    assert all(have[n] <= 3 * len(of[n][1].split()) for n in have)
+    assert sum(have.values()) == sum(len(r[1].split()) for r in rows)
+
+
 def shuffled(spark) -> int:
     """Bytes of shuffle files written so far by this session's executors."""
     found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
@@ -115,6 +129,17 @@ def test_dedup_shuffles_the_texts_of_few_documents(spark, long_texts):
     assert shuffled(spark) - before < 0.5 * once
 
 
+def test_mixing_shuffles_texts_once(spark, long_texts):
+    docs, once = long_texts
+    before = shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if there were many documents
+    try:
+        assert mixing.sample(docs).select(F.sum(F.length("text"))).collect()[0][0] > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled(spark) - before < 1.5 * once
+
+
 def test_staged_tables_leave_no_shuffle_files(spark):
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
